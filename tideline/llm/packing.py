@@ -198,7 +198,7 @@ def _cut(total: int, length: int) -> list[int]:
 
 
 def _merge(length: int, keep_ids: bool):
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         rows = group.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         base = -(key[0].as_py() + 1 << 32)
         pieces = [((d, t), s, np.frombuffer(i, "<u4")) for d, t, s, i in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "start", "ids")), strict=True)]
