@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, packing
+from tideline.llm import decontaminate, langid, packing, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_urls": urls.op1_urls,
+        "op4_language": langid.op4_language,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pack": packing.op9_pack,
     }
