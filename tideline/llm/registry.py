@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, langid, packing, urls
+from tideline.llm import decontaminate, langid, lines, neardup, packing, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urls": urls.op1_urls,
+        "op2_neardup": neardup.op2_neardup,
+        "op3_lines": lines.op3_lines,
         "op4_language": langid.op4_language,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pack": packing.op9_pack,
