@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, langid, lines, neardup, packing, urls
+from tideline.llm import decontaminate, langid, lines, neardup, packing, ppm, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": langid.op4_language,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pack": packing.op9_pack,
+        "op10_ppm": ppm.op10_ppm,
     }
 
 
