@@ -154,7 +154,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("__d"), F.xxhash64(F.col(f"`{text_col}`")).alias("__h"))
-    joined = keyed.join(gone.toDF("__gd", "__gh", "__gone"), (F.col("__d") == F.col("__gd")) & (F.col("__h") == F.col("__gh")), "left")
+    # one plan at every size: a broadcast that a larger table would turn into a shuffle helps nobody
+    joined = keyed.join(gone.toDF("__gd", "__gh", "__gone").hint("merge"), (F.col("__d") == F.col("__gd")) & (F.col("__h") == F.col("__gh")), "left")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
     kept = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(F.col("__gone"), at)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
