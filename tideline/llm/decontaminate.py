@@ -246,14 +246,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return out.mapInArrow(_summary(id_col), T.StructType(fields))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with their own columns.
+def _clean(block: list[tuple[str, bytes]], window: int, shard_bytes: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(block, window)
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-    Of rows that share an id, all go if one is contaminated. Null ids are taken for equal.
-    """
-    id_col = options.get("id_col", "doc_id")
-    bad = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+        def shard() -> list[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            masks = match_shard([(x or "").encode() for x in rows.column(text_col).to_pylist()], items)[1]
+            return rows.filter(pa.array([not m.any() for m in masks], pa.bool_())).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= shard_bytes:
+                yield from shard()
+                held, size = [], 0
+        if held:
+            yield from shard()
+
+    return run
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no benchmark window, with all their columns. Every row
+    is judged by itself, so ids may repeat or be null; the other cases are as in :func:`decontaminate`."""
+    for block in blocks_of(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(_clean(block, window, shard_bytes, text_col), docs.schema)
+    return docs
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,7 +109,39 @@ class Forest:
         return sum((predict(t, x) for t in self.trees), np.zeros(len(x))) / len(self.trees)
 
     def sql(self, names: list[str]) -> str:
-        return "(" + " + ".join(f"({sql(t, names)})" for t in self.trees) + f") / {len(self.trees)}D"
+        """The mean of the leaves, found by walking the trees as arrays: nested CASE expressions of this
+        many nodes would be more code than a method may hold. The features are worked out once, as they
+        are bound to a variable."""
+        depth = max(_depth(t) for t in self.trees)
+        feature, at, value = [], [], []
+        for t in self.trees:
+            for out, part in zip((feature, at, value), _flat(t, depth), strict=True):
+                out += part
+        inner = (1 << depth) - 1
+        doubles = lambda xs: "array(" + ", ".join("double('infinity')" if x == math.inf else f"{x!r}D" for x in xs) + ")"
+        if not depth:
+            return f"{sum(value) / len(value)!r}D"
+        step = f"2 * n + 1 + if(element_at(f, element_at(c.s, t * {inner} + n + 1)) <= element_at(c.a, t * {inner} + n + 1), 0, 1)"
+        walk = f"aggregate(sequence(1, {depth}), 0, (n, k) -> {step})"
+        total = f"aggregate(sequence(0, {len(self.trees) - 1}), 0D, (total, t) -> total + element_at(c.v, t * {inner + 1} + {walk} - {inner} + 1))"
+        held = f"named_struct('s', array({', '.join(map(str, feature))}), 'a', {doubles(at)}, 'v', {doubles(value)})"
+        return f"element_at(transform(array(array({', '.join(names)})), f -> element_at(transform(array({held}), c -> {total}), 1)), 1) / {len(self.trees)}D"
+
+
+def _depth(tree: Leaf | Split) -> int:
+    return 0 if isinstance(tree, Leaf) else 1 + max(_depth(tree.left), _depth(tree.right))
+
+
+def _flat(tree: Leaf | Split, depth: int) -> tuple[list[int], list[float], list[float]]:
+    """Features (from 1) and thresholds of a complete tree in rows from the root, and its leaves."""
+    row: list[Leaf | Split] = [tree]
+    feature: list[int] = []
+    at: list[float] = []
+    for _ in range(depth):
+        feature += [1 if isinstance(t, Leaf) else t.feature + 1 for t in row]
+        at += [math.inf if isinstance(t, Leaf) else t.at for t in row]
+        row = [x for t in row for x in ((t, t) if isinstance(t, Leaf) else (t.left, t.right))]
+    return feature, at, [t.value for t in row]
 
 
 def forest(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 6, least: float = 3.0, seed: int = 7) -> Forest:
