@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lead = scratch.keep(lead, "lead")
     buckets = scratch.keep(banded.join(lead, ["band", "key"]), "buckets")
     wanted = scratch.keep(buckets.select("cid").distinct(), "wanted")
-    vectors = rows.where("text IS NOT NULL").join(wanted, "cid").select("cid", "text").mapInArrow(_vectors(weights), "cid string, u binary, w binary")
+    # one plan at every size: the ids of texts in buckets grow with the documents
+    vectors = rows.where("text IS NOT NULL").join(wanted.hint("merge"), "cid").select("cid", "text").mapInArrow(_vectors(weights), "cid string, u binary, w binary")
     vectors = scratch.keep(vectors, "vectors")
     stars = buckets.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
     pairs = stars.join(vectors.toDF("a", "ua", "wa"), "a").join(vectors.toDF("b", "ub", "wb"), "b").select("a", "b", "ua", "wa", "ub", "wb")
@@ -335,6 +336,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = gone.hint("merge")  # grows with the documents
     return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["__gone"]), "left_anti")
 
 
