@@ -32,13 +32,11 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("seed,bucket,chunk", [(1, 200, 64), (2, 1 << 20, 1 << 20)])
-def test_brute_force(spark, monkeypatch, seed, bucket, chunk):
+@pytest.mark.parametrize("seed,shard,part", [(1, 200, 300), (2, 1 << 20, 1 << 20), (3, 1, 40)])
+def test_brute_force(spark, seed, shard, part):
     rows = rows_of(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    if seed == 2:
-        monkeypatch.setattr(P, "CHUNK", chunk)
-    got = sorted(map(tuple, P.score(df, F.col("learn"), bucket_bytes=bucket).collect()), key=str)
+    got = sorted(map(tuple, P.score(df, F.col("learn"), shard_bytes=shard, part_bytes=part).collect()), key=str)
     for g, w in zip(got, sorted(brute(rows), key=str), strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], abs=1e-9) and g[6] == pytest.approx(w[6], abs=1e-9)
 

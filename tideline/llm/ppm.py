@@ -7,9 +7,12 @@ ruled out are excluded. Below the empty context all bytes left are alike. Text i
 followed by one byte 0xFF, which no UTF-8 text has, so a score covers the end of the text as well.
 
 The trie is a set of tables (context and follower, count), one row a node, aggregated from all training
-documents; nothing of it is broadcast, as it grows with the corpus. Documents are dealt into buckets of
-a few megabytes; a bucket asks for the distinct six-byte strings and words that it holds, joins answer
-with their log probabilities and counts, and the bucket's documents are scored from these answers.
+documents; nothing of it is broadcast, as it grows with the corpus. Documents are written once as
+compressed shards of some tens of megabytes. A shard asks for the distinct six-byte strings and words
+that it holds, as sorted arrays dealt by a hash of the key into parts; each part adds up the counts of
+its keys, and, when the tables of the trie have given every distinct string its log probability,
+answers each shard with an array. A shard's documents are scored from its answers. Shards and parts
+grow in number with the corpus, not in size.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import LOWER, HashTable, crc_mod, mix64, span_hashes, table
 from tideline.plans.shared import Scratch
 
-ORDER, BUCKET_BYTES, CHUNK = 5, 8 << 20, 4 << 20
+#: Text of a shard and of what goes to one part, in bytes.
+ORDER, SHARD_BYTES, PART_BYTES, CHUNK = 5, 32 << 20, 64 << 20, 4 << 20
 _END_WORD = 0x5EED  # the key of the token that ends a text
 _WORD, _GRAM = 0, 1
 _SPACE = np.zeros(256, bool)
@@ -81,23 +86,121 @@ def _count(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
 
 
-_ASKED = "bucket int, kind int, key long, n long"
+_SHARD = "shard long, n int, ids binary, nulls binary, train binary, sizes binary, text binary"
+_CELL = "shard long, part long, kind int, keys binary, counts binary"
+_ANSWER = "shard long, kind int, keys binary, answers binary"
 
 
-def _ask(group):
-    """What a bucket holds, with counts in its training documents."""
-    raws = [(t or "").encode() for t in group.column("text").to_pylist()]
-    train = np.array(group.column("train").to_pylist(), bool)
-    bucket = group.column("bucket")[0].as_py()
-    parts = []
-    keys, owner = _words(raws)
-    learn, other = [keys[train[owner]], np.full(int(train.sum()), _END_WORD, np.int64)], [keys[~train[owner]], np.full(1, _END_WORD, np.int64)]
-    for kind, (yes, no) in ((_WORD, (learn, other)), (_GRAM, _gram_lists(raws, train))):
-        u, n = _count(yes)
-        more = _count(no)[0]
-        more = np.setdiff1d(more, u, assume_unique=True)
-        parts.append(pa.table({"bucket": pa.array(np.full(len(u) + len(more), bucket, np.int32)), "kind": pa.array(np.full(len(u) + len(more), kind, np.int32)), "key": pa.array(np.concatenate([u, more])), "n": pa.array(np.concatenate([n, np.zeros(len(more), np.int64)]))}))
-    return pa.concat_tables(parts)
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpack(raw: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype)
+
+
+def _keys_out(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _pack(np.diff(keys, prepend=np.int64(0)))
+
+
+def _keys_in(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, np.int64))
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return np.mod(keys ^ (keys >> 17) ^ (keys >> 31), parts)
+
+
+def _part_of(key: Column, parts: int) -> Column:
+    """As _part."""
+    return F.pmod(key.bitwiseXOR(F.shiftright(key, 17)).bitwiseXOR(F.shiftright(key, 31)), F.lit(parts))
+
+
+def _shards(size: int):
+    """Rows (doc_id, text, train) as compressed shards."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        base, k, held, total = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def shard():
+            ids, raws, train = ([x for h in held for x in h[c]] for c in range(3))
+            row = (base + k, len(ids), np.array([0 if i is None else i for i in ids], np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(), np.array(train, bool).tobytes(), np.array([len(r) for r in raws], np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(raws)))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["shard", "n", "ids", "nulls", "train", "sizes", "text"])
+
+        for batch in batches:
+            ids, train = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            at = 0
+            for j, r in enumerate(raws):
+                total += len(r)
+                if total >= size:
+                    held.append((ids[at : j + 1], raws[at : j + 1], train[at : j + 1]))
+                    yield shard()
+                    k, held, total, at = k + 1, [], 0, j + 1
+            if at < len(raws):
+                held.append((ids[at:], raws[at:], train[at:]))
+        if held:
+            yield shard()
+
+    return run
+
+
+def _open(sizes: bytes, text: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(text)
+    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _ask(parts: int):
+    """What a shard holds, with counts in its training documents, a cell for each part."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, train, sizes, text = (batch.column(c)[k].as_py() for c in ("shard", "train", "sizes", "text"))
+                raws, train = _open(sizes, text), np.frombuffer(train, bool)
+                keys, owner = _words(raws)
+                words = ([keys[train[owner]], np.full(int(train.sum()), _END_WORD, np.int64)], [keys[~train[owner]], np.full(1, _END_WORD, np.int64)])
+                cells: list[tuple] = []
+                for kind, lists in ((_WORD, lambda w=words: w), (_GRAM, lambda r=raws, t=train: _gram_lists(r, t))):
+                    yes, no = lists()
+                    u, n = _count(yes)
+                    more = np.setdiff1d(_count(no)[0], u, assume_unique=True)
+                    u, n = np.concatenate([u, more]), np.concatenate([n, np.zeros(len(more), np.int64)])
+                    part = _part(u, parts)
+                    order = np.lexsort((u, part))
+                    u, n, part = u[order], n[order], part[order]
+                    for piece in np.split(np.arange(len(u)), np.flatnonzero(np.diff(part)) + 1):
+                        if len(piece):
+                            cells.append((shard, int(part[piece[0]]), kind, _keys_out(u[piece]), _pack(n[piece].astype(np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "part", "kind", "keys", "counts"])
+
+    return run
+
+
+def _add_up(group):
+    """(kind, key, n) over all shards, of one part and kind."""
+    keys = [_keys_in(k) for k in group.column("keys").to_pylist()]
+    counts = [_unpack(c, np.int64) for c in group.column("counts").to_pylist()]
+    u, back = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+    kind = group.column("kind")[0].as_py()
+    return pa.table({"kind": pa.array(np.full(len(u), kind, np.int32)), "key": pa.array(u), "n": pa.array(n)})
+
+
+def _answer(cells, values):
+    """Each cell's keys with their values, of one part and kind."""
+    key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    out: list[list] = [[], [], [], []]
+    for shard, kind, raw in zip(*(cells.column(c).to_pylist() for c in ("shard", "kind", "keys")), strict=True):
+        for c, v in zip(out, (shard, kind, raw, _pack(value[np.searchsorted(key, _keys_in(raw))])), strict=True):
+            c.append(v)
+    return pa.table({"shard": pa.array(out[0], pa.int64()), "kind": pa.array(out[1], pa.int32()), "keys": pa.array(out[2], pa.binary()), "answers": pa.array(out[3], pa.binary())})
 
 
 def _gram_lists(raws: list[bytes], train: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -123,25 +226,30 @@ _SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score d
 
 
 def _score(total: int, kinds: int):
-    """Scores of a bucket's documents from the answers. total, kinds: tokens and distinct tokens of training."""
-
-    def run(docs, answers):
-        raws = [(t or "").encode() for t in docs.column("text").to_pylist()]
-        kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
-        count, logp = value[kind == _WORD], value[kind == _GRAM]
-        words, grams = _table(key[kind == _WORD]), _table(key[kind == _GRAM])
+    """Scores of a shard's documents from its answers. total, kinds: tokens and distinct tokens of training."""
+
+    def known(answers, kind):
+        rows = [r for r in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "answers")), strict=True) if r[0] == kind]
+        keys = np.concatenate([_keys_in(r[1]) for r in rows])
+        return _table(keys), np.concatenate([_unpack(r[2], np.float64) for r in rows])
+
+    def run(shards, answers):
+        row = shards.to_pylist()[0]
+        raws, n = _open(row["sizes"], row["text"]), row["n"]
+        ids, nulls, train = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["train"], bool)
+        words, count = known(answers, _WORD)
+        grams, logp = known(answers, _GRAM)
         keys, owner = _words(raws)
         c = count[words.get(_slot(keys))] if len(keys) else np.zeros(0)
         end = count[words.get(_slot(np.array([_END_WORD], np.int64)))][0]
         norm = math.log10(total + kinds + 1)
-        n = len(raws)
         n_words = np.bincount(owner, minlength=n)
         base = np.bincount(owner, np.log10(c + 1) - norm, n) + math.log10(end + 1) - norm
-        known = np.bincount(owner, c > 0, n) + (end > 0)
+        seen = np.bincount(owner, c > 0, n) + (end > 0)
         score = np.zeros(n)
         for codes, own in _grams(raws):
             score += np.bincount(own, logp[grams.get(_slot(codes))], n)
-        return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array((n_words + 1).astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+        return pa.table({"doc_id": pa.array(ids, mask=nulls), "train": pa.array(train), "n_tokens": pa.array((n_words + 1).astype(np.int64)), "n_known": pa.array(seen.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
 
@@ -185,7 +293,7 @@ def log_probabilities(asked: DataFrame, grams: list[DataFrame], nodes: list[Data
     return reduce(DataFrame.union, done)
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     ``train`` tells the rows to learn from; null is no. ``score`` is the log10 probability of the text
@@ -198,19 +306,21 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """
     scratch = Scratch(docs.sparkSession, "ppm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(max(1, -(-size // bucket_bytes)))).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    asked = scratch.keep(rows.groupBy("bucket").applyInArrow(_ask, _ASKED), "asked")
-    words = scratch.keep(asked.where(F.col("kind") == _WORD).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    shards = scratch.keep(rows.mapInArrow(_shards(shard_bytes), _SHARD), "shards")
+    n_shards = shards.count()
+    if not n_shards:
+        return docs.sparkSession.createDataFrame([], _SCORED).select("doc_id", "train", "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), "base_score", "score")
+    parts = max(1, -(-n_shards * shard_bytes // part_bytes))
+    cells = scratch.keep(shards.select("shard", "train", "sizes", "text").mapInArrow(_ask(parts), _CELL), "cells")
+    sums = scratch.keep(cells.select("part", "kind", "keys", "counts").groupBy("part", "kind").applyInArrow(_add_up, "kind int, key long, n long"), "sums")
+    words, counts = (sums.where(F.col("kind") == k).select("key", "n") for k in (_WORD, _GRAM))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
-    counts = scratch.keep(asked.where(F.col("kind") == _GRAM).groupBy("key").agg(F.sum("n").alias("n")), "counts")
     grams, nodes = trie(counts, scratch)
-    values = scratch.keep(log_probabilities(counts, grams, nodes, scratch), "values")
-    value = words.select(F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).union(values.select(F.lit(_GRAM), "key", "value"))
-    answers = scratch.keep(asked.select("bucket", "kind", "key").join(value, ["kind", "key"]), "answers")
-    scratch.drop("asked")
-    out = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(total, kinds), _SCORED)
+    values = words.select(F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).union(log_probabilities(counts, grams, nodes, scratch).select(F.lit(_GRAM), "key", "value"))
+    values = values.select(_part_of(F.col("key"), parts).alias("part"), "kind", "key", "value")
+    answers = cells.select("shard", "part", "kind", "keys").groupBy("part", "kind").cogroup(values.groupBy("part", "kind")).applyInArrow(_answer, _ANSWER)
+    answers = scratch.keep(answers, "answers")
+    out = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_score(total, kinds), _SCORED)
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
