@@ -17,8 +17,8 @@ def read_series(spark: SparkSession, path: str, format: str = "parquet", **optio
 
 
 def write_series(df: DataFrame, path: str, format: str = "parquet", mode: str = "error", partition_by: Sequence[str] = ()) -> None:
-    """Writes a result; ``partition_by`` splits it into folders by key."""
-    writer = df.write.format(format).mode(mode)
+    """Writes a result, CSV with a header; ``partition_by`` splits it into folders by key."""
+    writer = df.write.format(format).mode(mode).options(**({"header": True} if format == "csv" else {}))
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
