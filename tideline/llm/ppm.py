@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,60 +31,81 @@ from tideline.llm.common import LOWER, HashTable, crc_mod, mix64, span_hashes, t
 from tideline.plans.shared import Scratch
 
 #: Text of a shard and of what goes to one part, in bytes.
-ORDER, SHARD_BYTES, PART_BYTES, CHUNK = 5, 32 << 20, 64 << 20, 4 << 20
+ORDER, SHARD_BYTES, PART_BYTES, CHUNK = 5, 32 << 20, 64 << 20, 1 << 20
 _END_WORD = 0x5EED  # the key of the token that ends a text
 _WORD, _GRAM = 0, 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _grams(raws: list[bytes]):
-    """(codes, owners) of six-byte strings in pieces of about CHUNK bytes; owners are places in raws."""
+def _groups(raws: list[bytes]):
+    """(place of the first, texts) of about CHUNK bytes each, or of one longer text."""
     group, size, first = [], 0, 0
     for k, raw in enumerate(raws):
         group.append(raw)
         size += len(raw)
         if size >= CHUNK or k + 1 == len(raws):
-            yield from _pieces(group, first)
+            yield first, group
             group, size, first = [], 0, k + 1
 
 
+def _grams(raws: list[bytes]):
+    """(codes, owners) of six-byte strings in pieces of about CHUNK bytes; owners are places in raws."""
+    for first, group in _groups(raws):
+        yield from _pieces(group, first)
+
+
 def _pieces(group: list[bytes], first: int):
     pad = b"\xff" * ORDER
     data = np.frombuffer(b"".join(pad + r + b"\xff" for r in group), np.uint8)
     sizes = np.array([len(r) + ORDER + 1 for r in group])
     begin = np.cumsum(sizes) - sizes
+    real = np.ones(len(data), bool)
+    for k in range(ORDER):
+        real[begin + k] = False
     for a in range(ORDER, len(data), CHUNK):
         b = min(a + CHUNK, len(data))
         codes = np.zeros(b - a, np.int64)
         for k in range(ORDER + 1):
-            codes = (codes << 8) | data[a - ORDER + k : b - ORDER + k]
-        at = np.arange(a, b)
-        owner = np.searchsorted(begin, at, "right") - 1
-        real = at - begin[owner] >= ORDER
-        yield codes[real], owner[real] + first
-
-
-def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and owners of the tokens, without ends."""
-    data = np.frombuffer(b" ".join(r.translate(LOWER) for r in raws) + b" ", np.uint8)
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[1:] = ~_SPACE[data]
-    edge = np.diff(inside)
-    starts = np.flatnonzero(edge == 1)
-    ends = np.flatnonzero(edge == -1)
-    begin = np.cumsum([0] + [len(r) + 1 for r in raws])[:-1]
-    return span_hashes(data, starts, ends).view(np.int64), np.searchsorted(begin, starts, "right") - 1
-
-
-def _count(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found = [np.unique(k, return_counts=True) for k in keys if len(k)]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(found) == 1:
-        return found[0]
-    u, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-    return u, np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
+            codes <<= 8
+            codes |= data[a - ORDER + k : b - ORDER + k]
+        mine = np.flatnonzero(real[a:b])
+        yield codes[mine], np.searchsorted(begin, mine + a, "right") - 1 + first
+
+
+def _words(raws: list[bytes]):
+    """(keys, owners) of the tokens, without ends, in pieces of about CHUNK bytes."""
+    for first, group in _groups(raws):
+        data = np.frombuffer(b" ".join(r.translate(LOWER) for r in group) + b" ", np.uint8)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[1:] = ~_SPACE[data]
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        begin = np.cumsum([0] + [len(r) + 1 for r in group])[:-1]
+        yield span_hashes(data, starts, ends).view(np.int64), np.searchsorted(begin, starts, "right") - 1 + first
+
+
+def _tally(pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts. Pieces are counted and merged as they come, so little more
+    than the distinct keys is held."""
+    held, size, most = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, CHUNK
+    for keys in pieces:
+        held.append(np.unique(keys, return_counts=True))
+        size += len(held[-1][0])
+        if size > most:
+            held, size = [_merged(held)], 0
+            most = max(CHUNK, len(held[0][0]))
+    return _merged(held)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([h[0] for h in held])
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(np.concatenate([h[1] for h in held])[order], first)
 
 
 _SHARD = "shard long, n int, ids binary, nulls binary, train binary, sizes binary, text binary"
@@ -162,14 +184,13 @@ def _ask(parts: int):
             for k in range(batch.num_rows):
                 shard, train, sizes, text = (batch.column(c)[k].as_py() for c in ("shard", "train", "sizes", "text"))
                 raws, train = _open(sizes, text), np.frombuffer(train, bool)
-                keys, owner = _words(raws)
-                words = ([keys[train[owner]], np.full(int(train.sum()), _END_WORD, np.int64)], [keys[~train[owner]], np.full(1, _END_WORD, np.int64)])
+                yes, no = ([r for r, t in zip(raws, train, strict=True) if t == kind] for kind in (True, False))
+                ends = [np.full(len(yes), _END_WORD, np.int64)], [np.full(1, _END_WORD, np.int64)]
                 cells: list[tuple] = []
-                for kind, lists in ((_WORD, lambda w=words: w), (_GRAM, lambda r=raws, t=train: _gram_lists(r, t))):
-                    yes, no = lists()
-                    u, n = _count(yes)
-                    more = np.setdiff1d(_count(no)[0], u, assume_unique=True)
-                    u, n = np.concatenate([u, more]), np.concatenate([n, np.zeros(len(more), np.int64)])
+                for kind, read, more in ((_WORD, _words, ends), (_GRAM, _grams, ([], []))):
+                    u, n = _tally(chain((k for k, _ in read(yes)), more[0]))
+                    others = np.setdiff1d(_tally(chain((k for k, _ in read(no)), more[1]))[0], u, assume_unique=True)
+                    u, n = np.concatenate([u, others]), np.concatenate([n, np.zeros(len(others), np.int64)])
                     part = _part(u, parts)
                     order = np.lexsort((u, part))
                     u, n, part = u[order], n[order], part[order]
@@ -203,15 +224,6 @@ def _answer(cells, values):
     return pa.table({"shard": pa.array(out[0], pa.int64()), "kind": pa.array(out[1], pa.int32()), "keys": pa.array(out[2], pa.binary()), "answers": pa.array(out[3], pa.binary())})
 
 
-def _gram_lists(raws: list[bytes], train: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    yes, no = [], []
-    for codes, owner in _grams(raws):
-        mine = train[owner]
-        yes.append(codes[mine])
-        no.append(np.unique(codes[~mine]))
-    return yes, no
-
-
 def _table(keys: np.ndarray) -> HashTable:
     out = HashTable(max(8, int(2 * len(keys) + 1).bit_length()))
     out.put(_slot(keys), np.arange(len(keys)))
@@ -239,13 +251,14 @@ def _score(total: int, kinds: int):
         ids, nulls, train = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["train"], bool)
         words, count = known(answers, _WORD)
         grams, logp = known(answers, _GRAM)
-        keys, owner = _words(raws)
-        c = count[words.get(_slot(keys))] if len(keys) else np.zeros(0)
         end = count[words.get(_slot(np.array([_END_WORD], np.int64)))][0]
         norm = math.log10(total + kinds + 1)
-        n_words = np.bincount(owner, minlength=n)
-        base = np.bincount(owner, np.log10(c + 1) - norm, n) + math.log10(end + 1) - norm
-        seen = np.bincount(owner, c > 0, n) + (end > 0)
+        n_words, base, seen = np.zeros(n), np.full(n, math.log10(end + 1) - norm), np.full(n, float(end > 0))
+        for keys, own in _words(raws):
+            c = count[words.get(_slot(keys))]
+            n_words += np.bincount(own, minlength=n)
+            base += np.bincount(own, np.log10(c + 1) - norm, n)
+            seen += np.bincount(own, c > 0, n)
         score = np.zeros(n)
         for codes, own in _grams(raws):
             score += np.bincount(own, logp[grams.get(_slot(codes))], n)
