@@ -114,11 +114,14 @@ _ANSWER = "shard long, kind int, keys binary, answers binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """Integers, compressed byte plane by byte plane, as the upper ones are all but empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _unpack(raw: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype)
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def _keys_out(keys: np.ndarray) -> bytes:
@@ -130,6 +133,17 @@ def _keys_in(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw, np.int64))
 
 
+def _values_out(values: np.ndarray) -> bytes:
+    """Doubles as the places of the distinct ones, of which there are few."""
+    kinds, place = np.unique(values, return_inverse=True)
+    return len(kinds).to_bytes(8, "little") + kinds.tobytes() + _pack(place.astype(np.uint32))
+
+
+def _values_in(raw: bytes) -> np.ndarray:
+    end = 8 + 8 * int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw[8:end], np.float64)[_unpack(raw[end:], np.uint32)]
+
+
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.mod(keys ^ (keys >> 17) ^ (keys >> 31), parts)
 
@@ -219,7 +233,7 @@ def _answer(cells, values):
     key, value = key[order], value[order]
     out: list[list] = [[], [], [], []]
     for shard, kind, raw in zip(*(cells.column(c).to_pylist() for c in ("shard", "kind", "keys")), strict=True):
-        for c, v in zip(out, (shard, kind, raw, _pack(value[np.searchsorted(key, _keys_in(raw))])), strict=True):
+        for c, v in zip(out, (shard, kind, raw, _values_out(value[np.searchsorted(key, _keys_in(raw))])), strict=True):
             c.append(v)
     return pa.table({"shard": pa.array(out[0], pa.int64()), "kind": pa.array(out[1], pa.int32()), "keys": pa.array(out[2], pa.binary()), "answers": pa.array(out[3], pa.binary())})
 
@@ -243,7 +257,7 @@ def _score(total: int, kinds: int):
     def known(answers, kind):
         rows = [r for r in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "answers")), strict=True) if r[0] == kind]
         keys = np.concatenate([_keys_in(r[1]) for r in rows])
-        return _table(keys), np.concatenate([_unpack(r[2], np.float64) for r in rows])
+        return _table(keys), np.concatenate([_values_in(r[2]) for r in rows])
 
     def run(shards, answers):
         row = shards.to_pylist()[0]
@@ -291,12 +305,13 @@ def trie(counts: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], list[Dat
 
 
 def log_probabilities(asked: DataFrame, grams: list[DataFrame], nodes: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """(key, value): log10 of the probability of the last byte of each asked string after the others."""
+    """(key, value): log10 of the probability of the last byte of each asked string after the others.
+    asked: (key, n) with the string's own count, so that only those not met look for shorter ones."""
     done = []
-    left = asked.select("key", F.lit(0.0).alias("acc"), F.lit(0).cast("long").alias("x1"), F.lit(0).cast("long").alias("d1"))
+    left = asked.select("key", F.lit(0.0).alias("acc"), F.lit(0).cast("long").alias("x1"), F.lit(0).cast("long").alias("d1"), F.when(F.col("n") > 0, F.col("n")).alias("n"))
     for j in range(ORDER, -1, -1):
         here = left.withColumn("gram", _low(F.col("key"), j + 1)).withColumn("ctx", F.shiftright(F.col("gram"), 8))
-        here = here.join(grams[j], "gram", "left").join(nodes[j], "ctx", "left")
+        here = (here if j == ORDER else here.join(grams[j], "gram", "left")).join(nodes[j], "ctx", "left")
         t, d = F.coalesce("t", F.lit(0)) - F.col("x1"), F.coalesce("d", F.lit(0)) - F.col("d1")
         here = scratch.keep(here.select("key", "acc", "n", F.greatest(t, F.lit(0)).alias("t"), F.greatest(d, F.lit(0)).alias("d"), F.coalesce("x", F.lit(0)).alias("x1"), F.coalesce(F.col("d"), F.lit(0)).alias("d1")), f"level{j}")
         done.append(here.where("n IS NOT NULL").select("key", (F.col("acc") + F.log10((2 * F.col("n") - 1) / (2 * F.col("t")))).alias("value")))
@@ -333,6 +348,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     values = values.select(_part_of(F.col("key"), parts).alias("part"), "kind", "key", "value")
     answers = cells.select("shard", "part", "kind", "keys").groupBy("part", "kind").cogroup(values.groupBy("part", "kind")).applyInArrow(_answer, _ANSWER)
     answers = scratch.keep(answers, "answers")
+    scratch.drop("cells", "sums", *(f"{t}{j}" for t in ("gram", "node", "level") for j in range(ORDER + 1)))  # nothing reads them any more
     out = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_score(total, kinds), _SCORED)
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
