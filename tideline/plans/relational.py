@@ -21,7 +21,7 @@ from tideline.options import InvalidData, Options, UnsupportedFeature
 from tideline.plans.ranks import global_rank
 from tideline.plans.shared import Scratch
 
-MAX_ANCHORS, BINS, COLLECT = 4096, 1024, 10_000
+MAX_ANCHORS, BINS, COLLECT, WALK = 4096, 1024, 10_000, 1 << 22
 
 
 def exact_median(df: DataFrame, value: Column) -> float:
@@ -50,8 +50,16 @@ def _ranked_value(v: DataFrame, rank: int, lo: float, hi: float, n: int) -> floa
 
 
 def _anchors(points: DataFrame, x0: float, n: int, delta: float) -> list[tuple[int, int, float]]:
-    """(rank, last rank of its ties, x). Each step reads the rows between two anchors only: the table is
-    in the order of x, so the others are skipped by their file statistics."""
+    """(rank, last rank of its ties, x). Up to ``WALK`` points their x go to the driver, 16 bytes each.
+    Beyond, each step reads the rows between two anchors only: the table is in the order of x, so the
+    others are skipped by their file statistics."""
+    if n <= WALK:
+        xs = np.sort(points.select("x").toArrow().column("x").to_numpy())
+        at, copies = kernel.anchors(xs, delta)
+        if len(at) > MAX_ANCHORS:
+            raise UnsupportedFeature(f"more than {MAX_ANCHORS} anchors: delta is too small for a series of this size")
+        ties = dict(copies.tolist())
+        return [(a, ties.get(a, a), float(xs[a])) for a in at.tolist()]
     out, last, x = [], 0, x0
     while True:
         ties = points.where(F.col("x") == x).agg(F.max("rank")).first()[0]
@@ -70,10 +78,16 @@ def _at(points: DataFrame, ranks: list[int]) -> dict[int, tuple[float, float]]:
     return {r.rank: (r.x, r.y) for r in points.where(F.col("rank").isin(sorted(set(ranks)))).select("rank", "x", "y").collect()}
 
 
+def _segment(ranks: list[int]) -> Column:
+    """The place, from 1, of the last knot at or before a point's rank, but for the last knot."""
+    before = F.aggregate(F.array(*(F.lit(r) for r in ranks)), F.lit(0), lambda n, r: n + F.when(r <= F.col("rank"), 1).otherwise(0))
+    return F.greatest(F.lit(1), F.least(before, F.lit(len(ranks) - 1)))
+
+
 def _interpolated(knots: list[tuple[int, float, float]]) -> Column:
-    """The fit at a point, by the knots (rank, x, fit) around its rank."""
+    """The fit at a point, by the knots (rank, x, fit) around its rank; its segment is known."""
     ranks, xs, ys = (F.array(*(F.lit(v) for v in c)) for c in zip(*knots, strict=True))
-    k = F.greatest(F.lit(1), F.least(F.aggregate(ranks, F.lit(0), lambda n, r: n + F.when(r <= F.col("rank"), 1).otherwise(0)), F.lit(len(knots) - 1)))
+    k = F.col("segment")
     if len(knots) == 1:
         return F.lit(knots[0][2])
     at = lambda a, i: F.element_at(a, i)
@@ -123,6 +137,8 @@ def smooth_large(df: DataFrame, x: str, y: str, weight: str | None = None, *, dr
     left = [min(int(passed[twice.index(2 * m[2])]), total - q) for m in marks]
     edge = _at(points, [*left, *(a + q - 1 for a in left), *(m[0] for m in marks)])
     spec = [(i, m[2], left[i], left[i] + q - 1, max(m[2] - edge[left[i]][0], edge[left[i] + q - 1][0] - m[2])) for i, m in enumerate(marks)]
+    ranks = [r for m in marks for r in dict.fromkeys((m[0], m[1]))]  # of the knots, which are the same in all passes
+    points = scratch.keep(points.withColumn("segment", _segment(ranks)), "segments")
     anchors = F.broadcast(df.sparkSession.createDataFrame(spec, "a int, ax double, lo long, hi long, h double"))  # MAX_ANCHORS rows at most
     knots: list[tuple[int, float, float]] | None = None
     weight_of: Column = F.lit(1.0)
@@ -138,11 +154,12 @@ def smooth_large(df: DataFrame, x: str, y: str, weight: str | None = None, *, dr
             weight_of = exprs.robustness_weight(r, F.lit(_scale(points, r, o.scale)), o.robustness)
     out = whole.withColumn("rank", F.col("__rank") + k).withColumn("x", F.col("__x")).withColumn("y", F.col("__y"))
     # names of the input stay clear of those used here
-    kept = [F.col(f"`{c}`") for c in own] if not {"rank", "x", "y"} & set(own) else None
+    kept = [F.col(f"`{c}`") for c in own] if not {"rank", "x", "y", "segment"} & set(own) else None
     if kept is None:
         out = whole.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"), (F.col("__rank") + k).alias("rank"), F.col("__x").alias("x"), F.col("__y").alias("y"))
         kept = [F.col(f"__row.`{c}`").alias(c) for c in own]
     fit = _interpolated(knots)
+    out = out.withColumn("segment", _segment(ranks))
     return out.select(*kept, fit.alias("y_smooth"), (F.col("y") - fit).alias("residual"), weight_of.alias("robustness_weight"))
 
 
