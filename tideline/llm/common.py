@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,21 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: 0x80 up belong to characters above 0x7F, which are word characters, so bytes and characters agree.
 IS_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system. Python workers live on after a task, and what they keep
+    lacks to the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, HashTable, crc_mod, mix64, span_hashes, table
+from tideline.llm.common import LOWER, crc_mod, give_back, span_hashes, table
 from tideline.plans.shared import Scratch
 
 #: Text of a shard and of what goes to one part, in bytes.
@@ -176,10 +176,14 @@ def _shards(size: int):
                     held.append((ids[at : j + 1], raws[at : j + 1], train[at : j + 1]))
                     yield shard()
                     k, held, total, at = k + 1, [], 0, j + 1
+                    give_back()
             if at < len(raws):
                 held.append((ids[at:], raws[at:], train[at:]))
+            del ids, train, raws
         if held:
             yield shard()
+        held.clear()
+        give_back()
 
     return run
 
@@ -193,25 +197,29 @@ def _open(sizes: bytes, text: bytes) -> list[bytes]:
 def _ask(parts: int):
     """What a shard holds, with counts in its training documents, a cell for each part."""
 
+    def cells_of(shard: int, train: bytes, sizes: bytes, text: bytes) -> pa.RecordBatch:
+        raws, train = _open(sizes, text), np.frombuffer(train, bool)
+        yes, no = ([r for r, t in zip(raws, train, strict=True) if t == kind] for kind in (True, False))
+        ends = [np.full(len(yes), _END_WORD, np.int64)], [np.full(1, _END_WORD, np.int64)]
+        cells: list[tuple] = []
+        for kind, read, more in ((_WORD, _words, ends), (_GRAM, _grams, ([], []))):
+            u, n = _tally(chain((k for k, _ in read(yes)), more[0]))
+            others = np.setdiff1d(_tally(chain((k for k, _ in read(no)), more[1]))[0], u, assume_unique=True)
+            u, n = np.concatenate([u, others]), np.concatenate([n, np.zeros(len(others), np.int64)])
+            part = _part(u, parts)
+            order = np.lexsort((u, part))
+            u, n, part = u[order], n[order], part[order]
+            for piece in np.split(np.arange(len(u)), np.flatnonzero(np.diff(part)) + 1):
+                if len(piece):
+                    cells.append((shard, int(part[piece[0]]), kind, _keys_out(u[piece]), _pack(n[piece].astype(np.int64))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "part", "kind", "keys", "counts"])
+
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, train, sizes, text = (batch.column(c)[k].as_py() for c in ("shard", "train", "sizes", "text"))
-                raws, train = _open(sizes, text), np.frombuffer(train, bool)
-                yes, no = ([r for r, t in zip(raws, train, strict=True) if t == kind] for kind in (True, False))
-                ends = [np.full(len(yes), _END_WORD, np.int64)], [np.full(1, _END_WORD, np.int64)]
-                cells: list[tuple] = []
-                for kind, read, more in ((_WORD, _words, ends), (_GRAM, _grams, ([], []))):
-                    u, n = _tally(chain((k for k, _ in read(yes)), more[0]))
-                    others = np.setdiff1d(_tally(chain((k for k, _ in read(no)), more[1]))[0], u, assume_unique=True)
-                    u, n = np.concatenate([u, others]), np.concatenate([n, np.zeros(len(others), np.int64)])
-                    part = _part(u, parts)
-                    order = np.lexsort((u, part))
-                    u, n, part = u[order], n[order], part[order]
-                    for piece in np.split(np.arange(len(u)), np.flatnonzero(np.diff(part)) + 1):
-                        if len(piece):
-                            cells.append((shard, int(part[piece[0]]), kind, _keys_out(u[piece]), _pack(n[piece].astype(np.int64))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "part", "kind", "keys", "counts"])
+                out = cells_of(*(batch.column(c)[k].as_py() for c in ("shard", "train", "sizes", "text")))
+                give_back()
+                yield out
 
     return run
 
@@ -238,14 +246,10 @@ def _answer(cells, values):
     return pa.table({"shard": pa.array(out[0], pa.int64()), "kind": pa.array(out[1], pa.int32()), "keys": pa.array(out[2], pa.binary()), "answers": pa.array(out[3], pa.binary())})
 
 
-def _table(keys: np.ndarray) -> HashTable:
-    out = HashTable(max(8, int(2 * len(keys) + 1).bit_length()))
-    out.put(_slot(keys), np.arange(len(keys)))
-    return out
-
-
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return np.maximum(mix64(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), np.uint64(1))
+def _look(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of asked keys, all of which are there. keys are sorted."""
+    kinds, back = np.unique(asked, return_inverse=True)
+    return values[np.searchsorted(keys, kinds)][back]
 
 
 _SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
@@ -256,26 +260,30 @@ def _score(total: int, kinds: int):
 
     def known(answers, kind):
         rows = [r for r in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "answers")), strict=True) if r[0] == kind]
-        keys = np.concatenate([_keys_in(r[1]) for r in rows])
-        return _table(keys), np.concatenate([_values_in(r[2]) for r in rows])
+        keys, values = np.concatenate([_keys_in(r[1]) for r in rows]), np.concatenate([_values_in(r[2]) for r in rows])
+        order = np.argsort(keys)
+        return keys[order], values[order]
 
     def run(shards, answers):
-        row = shards.to_pylist()[0]
+        out = scored(shards.to_pylist()[0], answers)
+        give_back()
+        return out
+
+    def scored(row, answers):
         raws, n = _open(row["sizes"], row["text"]), row["n"]
         ids, nulls, train = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["train"], bool)
-        words, count = known(answers, _WORD)
-        grams, logp = known(answers, _GRAM)
-        end = count[words.get(_slot(np.array([_END_WORD], np.int64)))][0]
+        words, grams = known(answers, _WORD), known(answers, _GRAM)
+        end = _look(*words, np.array([_END_WORD], np.int64))[0]
         norm = math.log10(total + kinds + 1)
         n_words, base, seen = np.zeros(n), np.full(n, math.log10(end + 1) - norm), np.full(n, float(end > 0))
         for keys, own in _words(raws):
-            c = count[words.get(_slot(keys))]
+            c = _look(*words, keys)
             n_words += np.bincount(own, minlength=n)
             base += np.bincount(own, np.log10(c + 1) - norm, n)
             seen += np.bincount(own, c > 0, n)
         score = np.zeros(n)
         for codes, own in _grams(raws):
-            score += np.bincount(own, logp[grams.get(_slot(codes))], n)
+            score += np.bincount(own, _look(*grams, codes), n)
         return pa.table({"doc_id": pa.array(ids, mask=nulls), "train": pa.array(train), "n_tokens": pa.array((n_words + 1).astype(np.int64)), "n_known": pa.array(seen.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
