@@ -52,3 +52,15 @@ def test_held_out_accuracy_of_the_query(spark):
     assert all(zlib.crc32(str(d).encode()) % 3 == 1 for d in held)
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").collect() if r.doc_id in held}
     assert sum(held[d].lang_pred == lang for d, lang in truth.items()) >= 0.97 * len(truth)
+
+
+def test_narrow_margins_are_rejected(spark, model):
+    rng = random.Random(3)
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(250)) for _ in range(40)]
+    mixed = [sentence("aa", n, rng) + " " + sentence("bb", 1200 - n, rng) for n in range(300, 900, 3)]
+    classify = model.classifier()
+    for texts in (letters, mixed):
+        judged = [classify(t) for t in texts]
+        narrow = [0 < score < L.MARGIN and saved >= L.MARGIN_BYTES for _, score, saved in judged]
+        got = {r.doc_id: r.rejected for r in L.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+        assert any(narrow) and all(got[k] == (score < L.MARGIN) for k, (_, score, _) in enumerate(judged))

@@ -23,7 +23,7 @@ from tideline.llm.common import crc_mod, table
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 600, 2000, 48 << 10
 #: Texts of up to SHORT bytes are compressed at the finer level.
 SHORT, FINE_LEVEL, LEVEL = 4096, 8, 3
-#: Rejected below this share of saving against the runner-up, if the saving is also below so many bytes.
+#: Rejected below this share of saving against the runner-up, or below so many bytes of it.
 MARGIN, MARGIN_BYTES = 0.004, 1
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -108,7 +108,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", m
 
     The whole text is compressed, whatever its length. A null text, or one without a letter, is
     ``und`` with score 0 and rejected, as is every text under an empty model. A text whose best two
-    languages are less than ``margin`` and ``margin_bytes`` apart is rejected but keeps its best
+    languages are less than ``margin`` or ``margin_bytes`` apart is rejected but keeps its best
     language. Equal sizes go to the first language in alphabetical order. Repeated rows are judged one
     by one; an empty table gives none; other columns pass through.
     """
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", m
         classify = model.classifier()
         for batch in batches:
             found = [classify(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            rejected = [f[0] == "und" or (f[1] < margin and f[2] < margin_bytes) for f in found]
+            rejected = [f[0] == "und" or f[1] < margin or f[2] < margin_bytes for f in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(rejected, pa.bool_())], [f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
