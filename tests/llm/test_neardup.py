@@ -110,3 +110,17 @@ def test_dropping_keeps_one_of_each_class(spark):
 
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_dropping_decides_by_row(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"u{rng.randrange(5000)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = b + " more"
+    rows = [(1, a), (None, a), (None, c), (None, d), (None, d), (None, None), (None, "?!"), (7, b), (8, e), (8, near), (9, e + " end"), (10, c + " x y"), (10, text())]
+    got = N.drop_near_duplicates(spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA).repartition(3)).collect()
+    gone = [(None, a), (None, c), (8, near), (9, e + " end")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted((r for r in rows if r not in gone), key=str)
+    # one id on two texts of one class: one of them stays
+    got = N.drop_near_duplicates(spark.createDataFrame([(3, b, "x"), (3, near, "x"), (4, b, "x")], SCHEMA)).collect()
+    assert len(got) == 1 and got[0].doc_id == 3

@@ -286,6 +286,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null and only names a class that has no other. Rows that repeat give a row each, very long texts are
     read whole, an empty table gives no rows, and other columns are not read.
     """
+    return _judged(docs, id_col, text_col, threshold).select("doc_id", "class_id")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """doc_id, cid (the MD5 of the text), class_id and stays, a row for each row of ``docs``. The text that
+    stays for a class is the least cid of those with the class's id."""
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("cid"), F.col(text_col).alias("text"))
     weights = corpus_weights(rows)
@@ -322,22 +328,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = scratch.keep(signed.groupBy("cid").agg(F.min("doc_id").alias("least"), F.max("wordless").alias("wordless")), "least")
     of = least.where("NOT wordless").join(comps.toDF("cid", "label"), "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
     of = scratch.keep(of, "of")
-    named = scratch.keep(of.groupBy("label").agg(F.min("least").alias("class_id")), "named")
-    classes = scratch.keep(of.join(named, "label").select("cid", "class_id"), "classes")
-    with_words = signed.select("doc_id", "cid").join(classes, "cid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return with_words.union(rows.where("text IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cid")).alias("first")
+    named = scratch.keep(of.groupBy("label").agg(first).select("label", F.col("first.least").alias("class_id"), F.col("first.cid").alias("kept")), "named")
+    classes = scratch.keep(of.join(named, "label").select("cid", "class_id", "kept"), "classes")
+    stays = F.col("class_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("cid") == F.col("kept")))
+    with_words = signed.select("doc_id", "cid").join(classes, "cid", "left").select("doc_id", "cid", F.coalesce("class_id", "doc_id").alias("class_id"), stays.alias("stays"))
+    return with_words.union(rows.where("text IS NULL").select("doc_id", "cid", F.col("doc_id").alias("class_id"), F.lit(True).alias("stays")))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is their class's least, with their own columns.
+    """One text of each class of ``docs``, with its own columns: of the rows with the class's least id the
+    one with the least text hash.
 
-    Rows that repeat with one id and text stay as often as they are there; rows without words and rows
-    with a null id in a class without other ids stay.
+    Rows are told apart by id and text together, so neither a null id nor one on several texts takes other
+    rows with it. Rows that repeat with one id and text stay as often as they are there; rows without words
+    and rows with a null id in a class without other ids stay.
     """
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    judged = _judged(docs, id_col, text_col, threshold)
+    gone = judged.where("NOT stays").select(F.col("doc_id").alias("__gone"), F.col("cid").alias("__cid")).distinct()
     gone = gone.hint("merge")  # grows with the documents
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["__gone"]) & (F.md5(F.col(text_col)) == gone["__cid"]), "left_anti")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
