@@ -67,3 +67,15 @@ def test_repeated_rows_and_clashing_names(spark):
 
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_scripts_without_spaces_tabs_and_frequent_lines(spark):
+    cjk, tabs, plain = "汉字文本没有空格" * 6, "\t".join(f"c{k}" for k in range(25)), "x" * 250
+    nine = "this nine word line stands in very many documents"
+    rows = [(k, f"{x}\nown {k}", "x") for k, x in enumerate((cjk, cjk, tabs, tabs, plain, plain))]
+    rows += [(100 + k, f"{nine}\nown {k}\na b c d", "x") for k in range(L.OFTEN)]
+    rows += [(1000 + k, f"{nine} twice\nown {k + 500}", "x") for k in range(2)]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all(got[k] == f"own {k}" for k in (1, 3, 5)) and all(got[k] == rows[k][1] for k in (0, 2, 4))
+    assert got[100] == rows[6][1] and all(got[100 + k] == f"own {k}\na b c d" for k in range(1, L.OFTEN))
+    assert all(got[1000 + k] == f"{nine} twice\nown {k + 500}" for k in range(2))

@@ -28,6 +28,11 @@ from tideline.llm.common import table
 from tideline.plans.shared import Scratch
 
 MIN_WORDS = 20
+#: A single line of so many words that occurs so often goes without being part of a long run.
+OFTEN_WORDS, OFTEN = 5, 100
+#: A line counts as a word at least for every so many characters, and for every two of scripts without spaces.
+WORD_CHARS = 12
+_SPACELESS = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"
 _LAST = (1 << 63) - 1
 
 
@@ -38,9 +43,13 @@ def _lines(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """Words between spaces; 0 for blank lines."""
+    """Words between spaces or tabs, or what the characters make up for where these are few; 0 for blank lines."""
     bare = F.trim(line)
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1).cast("int")
+    size = F.length(bare)
+    spaced = size - F.length(F.translate(bare, " \t\u3000", "")) + 1
+    # two such characters are four bytes more than characters
+    spaceless = F.when(F.octet_length(bare) - size >= 4, F.regexp_count(bare, F.lit(_SPACELESS)) / 2).otherwise(0)
+    return F.when(bare == "", 0).otherwise(F.greatest(spaced, size / WORD_CHARS, spaceless)).cast("int")
 
 
 def _segments(min_words: int):
@@ -117,7 +126,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     keyed = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(_lines(F.col(text_col))).alias("i", "s"))
     lines = scratch.keep(keyed.select("d", "h", "i", "s.line", "s.id", "s.w"), "lines")
-    again = scratch.keep(lines.groupBy("id").count().where("count > 1").orderBy("id").select("id", F.monotonically_increasing_id().alias("r0")), "level0")
+    again = scratch.keep(lines.groupBy("id").count().where("count > 1").orderBy("id").select("id", F.monotonically_increasing_id().alias("r0"), "count"), "level0")
+    often = lines.where(F.col("w") >= OFTEN_WORDS).join(again.where(F.col("count") >= OFTEN).select("id"), "id")
+    often = scratch.keep(often.select("d", "h", "line", "id"), "often")
+    lead = often.groupBy("id").agg(F.min(F.struct("d", "h", "line")).alias("first"))
+    alone = scratch.keep(often.join(lead, "id").where(F.struct("d", "h", "line") > F.col("first")).select("d", "h", "line"), "alone")
     common = lines.join(again, "id").groupBy("d", "h").agg(F.collect_set(F.struct("i", "line", F.col("r0").alias("id"), "w")).alias("rows"))
     at = scratch.keep(common.select("d", "h", "rows").mapInArrow(_segments(min_words), _SEGMENTS).withColumnRenamed("id", "r0"), "segments")
     scratch.drop("lines", "level0")
@@ -134,7 +147,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     named = scratch.keep(rows.select("d", "h", "rows").mapInArrow(_windows(min_words, levels), _WINDOWS), "windows")
     first = scratch.keep(named.groupBy("size", "a", "b").agg(F.min(F.struct("d", "h", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = named.join(first, ["size", "a", "b"]).where(F.struct("d", "h", "line") > F.col("first"))
-    gone = later.select("d", "h", F.explode("lines").alias("line")).groupBy("d", "h").agg(F.collect_set("line").alias("gone"))
+    gone = later.select("d", "h", F.explode("lines").alias("line")).union(alone).groupBy("d", "h").agg(F.collect_set("line").alias("gone"))
     return scratch.keep(gone, "gone")
 
 
@@ -143,7 +156,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``n_deleted`` added (or replaced).
 
     A run is any stretch of consecutive non-blank lines, in one document, of ``min_words`` words (split
-    at spaces) or more that also occurs elsewhere; blank lines within it are passed over and stay, and lines are
+    at spaces and tabs; a word at least for 12 characters, or 2 of a script without spaces) or more that
+    also occurs elsewhere, or a single line of ``OFTEN_WORDS`` words that occurs ``OFTEN`` times; blank lines within it are passed over and stay, and lines are
     compared by 64-bit hashes of their exact text. Copies are ordered by id (null last), then by hash of
     the text, then by place, and the first stays: also within one document.
 
