@@ -56,3 +56,19 @@ def test_mask_and_empty(spark):
     assert S.scan(none).collect() == [] and S.mask(none).collect() == []
     got = {r.doc_id: r.text for r in S.mask(spark.createDataFrame([(k, t, "src0", 1) for k, t in enumerate(TEXTS)], SCHEMA)).collect()}
     assert got[1].startswith("word password=[secret] Heitie") and got[5] is None and got[8].count("[secret]") == 2 and got[6] == TEXTS[6]
+
+
+def test_values_of_telling_names_in_all_forms(spark):
+    forms = {
+        'password = "Xk7!pq2Zr"': "Xk7!pq2Zr",
+        "password: hunter22secret": "hunter22secret",
+        '"password": "Tr0ub4dor&3"': "Tr0ub4dor&3",
+        "Password=Tr0ub4dor&3": "Tr0ub4dor&3",
+        'token="aB3dE6gH9jK2"': "aB3dE6gH9jK2",
+        'api_key = "abcDEFghiJKLmnoPQRstu"': "abcDEFghiJKLmnoPQRstu",
+        "postgres://u:S3cr3tPass@host/db": "S3cr3tPass",
+    }
+    innocent = ["password: required", "token = tokenizer", "see http://host:8080/path", "Password: something"]
+    rows = [(k, f"some words {t} and more", "src/app.py", 1) for k, t in enumerate([*forms, *innocent])]
+    got = S.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.found) for r in got if r.is_secret} == set(enumerate(forms.values()))

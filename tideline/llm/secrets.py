@@ -2,7 +2,7 @@
 everything from the text to the verdict is a Column expression.
 
 A candidate is a stretch of 16 characters or more of the alphabets that keys are written in, with a
-digit, or what is assigned to a name such as ``password``. The forest judges it by length, character
+digit, what is assigned to a name such as ``password``, or the password of a URL. The forest judges it by length, character
 classes and transitions, the share of it that common letter pairs and dictionary words cover, its
 path and the words before and after it. It is trained on labelled findings, in the driver, and becomes
 a CASE expression.
@@ -21,10 +21,18 @@ from tideline.llm import trees
 from tideline.llm.common import table
 
 _BODY = "A-Za-z0-9_+/\\-"
-#: The value given to a telling name, or a long run with a digit.
-PATTERN = rf"(?<=(?:password|passwd|secret|token|api_key|apikey|PASSWORD|SECRET|TOKEN|API_KEY)[=:])[^\s\"',;]{{8,}}|(?<![{_BODY}])(?=[A-Za-z_+/\-]*[0-9])[{_BODY}]{{16,}}={{0,2}}"
+#: What may stand between a telling name and its value, quote included; names in any case.
+_NAME = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"'`]?\s{0,3}[=:]\s{0,3}"
+#: The password of a URL, the value given to a telling name (up to the quote, if it is quoted), or a long
+#: run with a digit. The short look-behinds in front spare most places the long ones.
+PATTERN = (
+    r"(?<=:)(?<=://[^\s:/@\"']{0,64}:)[^\s/@\"']{4,}(?=@)"
+    rf"|(?<=[=:]\s{{0,3}}[\"'`])(?<={_NAME}[\"'`])[^\s\"'`]{{8,}}"
+    rf"|(?<=[=:]\s{{0,3}})(?<={_NAME})[^\s\"'`,;]{{8,}}"
+    rf"|(?<![{_BODY}])(?=[A-Za-z_+/\-]*[0-9])[{_BODY}]{{16,}}={{0,2}}"
+)
 CONTEXT = 48
-_TELLING = r"(?i)(passw(or)?d|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private|pwd)[^a-z0-9]*$"
+_TELLING = r"(?i)(passw(or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credentials?|private([_-]?key)?|pwd|://[^\s:/@]*)[^a-z0-9]*$"
 _INNOCENT = r"(?i)(commit|sha(1|256)?|md5|checksum|hash|digest|revision|uuid|guid|etag|version|order|card|phone|invoice|isbn|account|id|ref)[^a-z0-9]*$"
 _SAMPLE_PATH = r"(?i)(^|[/_.\-])(tests?|examples?|samples?|mocks?|fixtures?|docs?|spec)([/_.\-]|$)"
 _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[baprs]-|sk_live_|sk-|rk_live_|AIza|eyJ|SG\.|npm_|pypi-)"
@@ -74,12 +82,16 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, str, str
     hexa, b64 = "0123456789abcdef", low + high + num + "+/"
     prose = lambda: " ".join(pick(low, r.randint(2, 9)) for _ in range(r.randint(1, 5)))
     assign = lambda names: prose() + " " + r.choice(names) + r.choice(["=", " = ", ": ", ":", '="', ' = "', ": '"])
-    telling = ["password", "passwd", "secret", "token", "TOKEN", "api_key", "API_KEY", "apikey", "access_key", "auth_token", "client_secret", "private_key", "PASSWORD"]
+    telling = ["password", "passwd", "secret", "token", "TOKEN", "api_key", "API_KEY", "apikey", "access_key", "auth_token", "client_secret", "private_key", "PASSWORD", "Password", "\"password", "db_pwd"]
     innocent = ["commit", "sha256", "md5", "checksum", "uuid", "id", "order", "version", "etag", "digest", "card", "ref", "account"]
     path = lambda: r.choice(["src/app.py", "config/prod.yml", "src3", "deploy/env", "notes", "main.go", "src0"])
     tests = ["tests/data.py", "docs/example.md", "sample/config", "fixtures/a.json"]
     strong = [lambda: pick(hexa, r.choice([18, 24, 32, 40, 64])), lambda: pick(hexa, r.choice([32, 40])).upper(), lambda: pick(b64, r.randint(20, 64)), lambda: "AKIA" + pick(high + num, 16), lambda: "ghp_" + pick(low + high + num, 36), lambda: "sk_live_" + pick(low + high + num, 24), lambda: "xoxb-" + pick(num, 11) + "-" + pick(low + high + num, 24), lambda: "eyJ" + pick(b64, 60), lambda: pick(low + high + num, r.randint(16, 40))]
+    some = lambda: "".join(r.sample(pick(low, r.randint(6, 9)) + pick(high, r.randint(1, 3)) + pick(num, r.randint(1, 4)) + pick("!&#$%*?.", r.randint(0, 2)), 8))
+    human = [some, lambda: pick(low, r.randint(4, 9)) + pick(num, r.randint(1, 4)) + pick(low + "!&", r.randint(3, 6)), lambda: pick(high, 1) + pick(low, 2) + pick(num, 2) + pick(low, 3) + pick("&!$", 1) + pick(num, 1), lambda: pick(low + high + num, 12)]
+    plain = [lambda: pick(low, r.randint(8, 14)), lambda: pick(low, 5) + "." + pick(low, 7), lambda: pick(low, 6) + "()" + pick(".,)", 1), lambda: "${" + pick(high, 8) + "}", lambda: "<" + pick(low, 9) + ">"]
     weak = [
+        lambda: (r.choice(plain)(), assign(telling)),
         lambda: (pick(num, r.choice([16, 16, 17, 19, 20])), prose() + " "),
         lambda: (pick(hexa, r.choice([32, 40, 64])), assign(innocent[:5])),
         lambda: (pick(hexa, r.choice([32, 40, 64])), prose() + " commit "),
@@ -97,6 +109,10 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, str, str
     for _ in range(n):
         quote = r.choice(['"', "'", "", " ", "\n"])
         if r.random() < 0.5:
+            if r.random() < 0.3:
+                before, after = (assign(telling), quote) if r.random() < 0.8 else (prose() + " " + r.choice(["postgres", "https", "mysql", "redis"]) + "://" + pick(low, r.randint(1, 8)) + ":", "@" + pick(low, 5) + "/")
+                out.append((r.choice(human)(), before[-CONTEXT:], after + prose(), path(), 1))
+                continue
             found, before = r.choice(strong)(), assign(telling) if r.random() < 0.85 else prose() + " "
             if before.endswith(" ") and not found.startswith(("AKIA", "ghp_", "sk_live_", "xoxb-", "eyJ")) and not before.rstrip().endswith(("=", ":")):
                 before = assign(telling)
