@@ -124,3 +124,14 @@ def test_dropping_decides_by_row(spark):
     # one id on two texts of one class: one of them stays
     got = N.drop_near_duplicates(spark.createDataFrame([(3, b, "x"), (3, near, "x"), (4, b, "x")], SCHEMA)).collect()
     assert len(got) == 1 and got[0].doc_id == 3
+
+
+def test_counts_do_not_depend_on_the_dealing(spark):
+    common = "in very many documents stands"
+    rows = [(f"a{k} b{k} c{k} d{k} e{k} " + (common if k % 15 == 0 or k == 301 else ""),) for k in range(300)]
+    rows += [(f"a{k} b{k} c{k} d{k} e{k} " + (common if k == 301 else ""),) for k in range(300, 600)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "text string")
+    for dealt in (docs, docs.coalesce(1)):
+        w = N.corpus_weights(dealt)
+        (h,) = N.shingles_of([common.encode()])[0]
+        assert h in w.hashes and abs(w.of(np.array([h], np.uint64))[0] - math.log(20 / 600) / math.log(N.COMMON)) < 1e-9

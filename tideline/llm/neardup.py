@@ -5,9 +5,10 @@ Weights. A shingle of five words weighs (1 + ln tf) * idf. The idf is 1 for shin
 ``COMMON`` of all documents and falls with the logarithm of their share to ``IDF_FLOOR`` beyond, so
 that common boilerplate counts less while a group of near copies isn't torn apart by its own shared
 shingles. Only shingles above ``COMMON / 2`` need a count. There are at most (shingles a document) /
-(COMMON / 4) of them, however many documents there are, which bounds what is broadcast. They're found
-in one pass: a shard reports the shingles in more than ``COMMON / 4`` of its documents, so no count is
-short by more than that share of the corpus.
+(COMMON / 4) of them, however many documents there are, which bounds what is broadcast. A first pass
+finds candidates: a shard reports the shingles in more than ``COMMON / 4`` of its documents, and those that
+may be above ``COMMON / 2`` of all, with what other shards may have left out, are counted exactly in a
+second pass. So the weights don't depend on how rows are dealt out.
 
 Candidates. A sample of each of 30 hashes; three make a band, ten bands. Everything after works on
 one row per different text.
@@ -157,13 +158,34 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = [np.unique(s) for s in shingles_of([t.encode() for t in shard.column(0).to_pylist()])]
         u, n = np.unique(np.concatenate(docs), return_counts=True) if docs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         keep = n > COMMON / 4 * len(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
+        size = np.full(int(keep.sum()), len(docs), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), pa.array(size)], ["h", "n", "docs"])
+
+
+def _counts(hashes: np.ndarray):
+    """Documents of each of these shingles (sorted), a row a shard and shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, SHARD_BYTES):
+            n = np.zeros(len(hashes), np.int64)
+            for s in shingles_of([t.encode() for t in shard.column(0).to_pylist()]):
+                at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                n[np.unique(at[hashes[at] == s])] += 1
+            there = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[there].view(np.int64)), pa.array(n[there])], ["h", "n"])
+
+    return run
 
 
 def corpus_weights(docs: DataFrame, text_col: str = "text") -> Weights:
     texts = docs.where(F.col(text_col).isNotNull()).select(text_col)
     total = texts.count()
-    common = texts.mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON / 2 * total).collect()
+    found = texts.mapInArrow(_common, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    may = found.where(F.col("n") + COMMON / 4 * (total - F.col("docs")) > COMMON / 2 * total).select("h").collect()
+    if not may:
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), total)
+    hashes = np.sort(np.array([r.h for r in may], np.int64).view(np.uint64))
+    common = texts.mapInArrow(_counts(hashes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON / 2 * total).collect()
     return Weights(np.array([r.h for r in common], np.int64).view(np.uint64), np.array([r.n for r in common], np.float64), total)
 
 
