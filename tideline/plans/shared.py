@@ -42,6 +42,10 @@ class Scratch:
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_but(self, *names: str) -> None:
+        """Removes all tables but these."""
+        self.drop(*(n for n in self._paths if n not in names))
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
