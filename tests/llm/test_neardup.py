@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 
 from tideline.llm import neardup as N
+from tideline.llm.components import components
+from tideline.plans.shared import Scratch
 
 SCHEMA = "doc_id long, text string, class_id string"
 
@@ -22,7 +24,7 @@ def weighted(texts):
         df.update(c.keys())
         out.append(c)
     n = sum(t is not None for t in texts)
-    idf = {s: min(1.0, max(N.IDF_FLOOR, math.log(max(k - 1, 1e-9) / n) / math.log(N.COMMON))) if k > N.COMMON / 2 * n else 1.0 for s, k in df.items()}
+    idf = {s: N.IDF_LEAST + (1 - N.IDF_LEAST) * min(1.0, max(0.0, math.log(max(k - 1, 1e-9) / n) / math.log(N.RARE))) for s, k in df.items()}
     return [{s: (1 + math.log(m)) * idf[s] for s, m in c.items()} for c in out]
 
 
@@ -67,25 +69,77 @@ def corpus(seed, groups=12):
     return rows
 
 
-def test_brute_force(spark):
+def classes(spark, rows, parts):
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+    return sorted(((r.doc_id, r.class_id) for r in got), key=str)
+
+
+def test_brute_force_however_the_rows_are_dealt(spark):
     rows = corpus(1)
-    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute(rows)
+    want = brute(rows)
+    assert classes(spark, rows, 3) == want and classes(spark, rows, 1) == want
 
 
-def test_open_buckets_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 3)
+def chain():
     rng = random.Random(5)
     base = [f"v{k}" for k in range(120)]
     rows = []
-    for d in range(60):  # a chain: neighbours are near, the ends are far from each other
+    for d in range(60):  # neighbours are near, the ends are far from each other
         w = list(base)
         for k in range(0, d * 2, 3):
             w[k % 120] = f"x{k}"
         rows.append((d, " ".join(w), "x"))
     rng.shuffle(rows)
-    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
-    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute(rows)
+    return rows
+
+
+def test_open_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 2000)
+    rows = chain()
+    assert classes(spark, rows, 2) == brute(rows)
+
+
+def test_large_buckets_have_several_leads(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAD_TEXTS", 2)
+    rows = chain() + [(100 + k, " ".join(f"y{j}" for j in range(80)) + f" end{k}", "x") for k in range(40)]
+    assert classes(spark, rows, 2) == brute(rows)
+
+
+def test_blocks_link_what_all_pairs_link():
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 1 << 32, 200, dtype=np.int64).astype(np.uint32))
+    vecs = []
+    for _ in range(60):
+        u = np.unique(np.where(rng.random(len(base)) < rng.choice([0.03, 0.1, 0.3]), rng.integers(0, 1 << 32, len(base), dtype=np.int64).astype(np.uint32), base))
+        vecs.append((u, rng.choice([0.6, 1.0, 1.7], len(u)).astype(np.float32) if rng.random() < 0.3 else np.ones(len(u), np.float32)))
+    for i, (u, w) in enumerate(vecs):  # the definition
+        for v, x in vecs[:i]:
+            a, b = dict(zip(u.tolist(), w.tolist(), strict=True)), dict(zip(v.tolist(), x.tolist(), strict=True))
+            assert abs(N.similarity(u, w, v, x) - jaccard(a, b)) < 1e-6
+
+    def closed(links):
+        of = list(range(60))
+        for a, b in links:
+            of = [min(of[a], of[b]) if x in (of[a], of[b]) else x for x in of]
+        return of
+
+    want = closed([(i, j) for i in range(60) for j in range(i) if N.similarity(*vecs[i], *vecs[j]) >= 0.8])
+    every = np.ones(60, bool)
+    assert 1 < len(set(want)) < 55
+    assert closed(N.block_links(vecs, [f"c{k:02}" for k in range(60)], every, every, 0.8)) == want
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["ab", "cde", "fghij"]) + str(rng.randrange(300)) for _ in range(5000)).encode()
+    (whole,) = N.shingles_of([text])
+    assert (np.sort(N.shingles_of([text, b"x"])[0]) == np.sort(whole)).all()
+    assert (N.word_hashes(text, 100) == N.word_hashes(text)).all() and (N.word_hashes(b"a" * 1000 + b" b", 100) == N.word_hashes(b"a" * 1000 + b" b")).all()
+    u, tf = np.unique(whole, return_counts=True)
+    docs = [(u, 1 + np.log(tf)), (u[::2], np.ones(len(u[::2])))]
+    once = N.sample(docs)
+    monkeypatch.setattr(N, "SAMPLE_AT_ONCE", 700)
+    assert (N.sample(docs) == once).all()
 
 
 def test_samples_estimate_weighted_jaccard():
@@ -126,7 +180,8 @@ def test_dropping_decides_by_row(spark):
     assert len(got) == 1 and got[0].doc_id == 3
 
 
-def test_counts_do_not_depend_on_the_dealing(spark):
+def test_counts_do_not_depend_on_the_dealing(spark, monkeypatch):
+    monkeypatch.setattr(N, "RARE", 0.02)
     common = "in very many documents stands"
     rows = [(f"a{k} b{k} c{k} d{k} e{k} " + (common if k % 15 == 0 or k == 301 else ""),) for k in range(300)]
     rows += [(f"a{k} b{k} c{k} d{k} e{k} " + (common if k == 301 else ""),) for k in range(300, 600)]
@@ -134,4 +189,15 @@ def test_counts_do_not_depend_on_the_dealing(spark):
     for dealt in (docs, docs.coalesce(1)):
         w = N.corpus_weights(dealt)
         (h,) = N.shingles_of([common.encode()])[0]
-        assert h in w.hashes and abs(w.of(np.array([h], np.uint64))[0] - math.log(20 / 600) / math.log(N.COMMON)) < 1e-9
+        want = N.IDF_LEAST + (1 - N.IDF_LEAST) * math.log(20 / 600) / math.log(0.02)
+        assert h in w.hashes and abs(w.of(np.array([h], np.uint64))[0] - want) < 1e-9
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (5, 5), (300, 300), (None, 7), (8, None)]
+    rng.shuffle(edges)
+    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()
+    want = {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").collect() == []

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in pieces whose texts in ``columns`` have about ``size`` bytes, or of one longer
+    row. Free memory goes back to the system after each batch."""
+    for batch in batches:
+        ends = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            ends += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ends)
+        first = 0
+        while first < len(ends):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+        give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +74,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(raw: bytes, size: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words of lower-cased bytes, a piece at a time, so that a very long text takes little
+    more memory than its hashes. A piece ends where no word does."""
+    if len(raw) <= size:
+        data = np.frombuffer(raw, np.uint8)
+        return span_hashes(data, *word_spans(data))
+    out, a = [], 0
+    while a < len(raw):
+        b = min(a + size, len(raw))
+        while b < len(raw) and IS_WORD[raw[b]]:
+            b += 1
+        data = np.frombuffer(raw[a:b], np.uint8)
+        out.append(span_hashes(data, *word_spans(data)))
+        a = b
+    return np.concatenate(out)
+
+
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of lower-cased bytes."""
     inside = np.zeros(len(raw) + 2, np.int8)
@@ -86,7 +122,8 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class HashTable:
-    """Small integers by 64-bit hash, open addressing in NumPy arrays; looked up by whole arrays."""
+    """Small integers by 64-bit hash, open addressing in NumPy arrays; looked up by whole arrays. It doubles
+    before it is more than half full, so that a free place ends every search."""
 
     def __init__(self, bits: int):
         self.bits, self.count = bits, 0
@@ -114,6 +151,11 @@ class HashTable:
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct keys that aren't there yet."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            old, was = self.keys[held], self.values[held]
+            self.__init__(int(2 * (self.count + len(keys)) - 1).bit_length())  # type: ignore[misc]
+            self.put(old, was)
         slot, values = self._slots(keys), values.astype(np.int32)
         self.count += len(keys)
         while len(keys):

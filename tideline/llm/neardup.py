@@ -1,22 +1,25 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded,
 verified by weighted Jaccard similarity.
 
-Weights. A shingle of five words weighs (1 + ln tf) * idf. The idf is 1 for shingles in up to
-``COMMON`` of all documents and falls with the logarithm of their share to ``IDF_FLOOR`` beyond, so
-that common boilerplate counts less while a group of near copies isn't torn apart by its own shared
-shingles. Only shingles above ``COMMON / 2`` need a count. There are at most (shingles a document) /
-(COMMON / 4) of them, however many documents there are, which bounds what is broadcast. A first pass
-finds candidates: a shard reports the shingles in more than ``COMMON / 4`` of its documents, and those that
-may be above ``COMMON / 2`` of all, with what other shards may have left out, are counted exactly in a
-second pass. So the weights don't depend on how rows are dealt out.
+Weights. A shingle of five words weighs (1 + ln tf) * idf. The idf falls with the logarithm of the share
+of documents that hold the shingle, from 1 at ``RARE`` (and below) to ``IDF_LEAST`` at all of them; the
+lower bound keeps the members of a very large group of near copies from being torn apart by the
+shingles that they share. Only shingles above ``RARE`` need a count. There are at most (shingles a
+document) / ``RARE`` of them, however many documents there are, which bounds what travels with the
+function. A first pass finds candidates: a shard reports the shingles in more than ``RARE / 2`` of its
+documents, and those that may be above ``RARE`` of all, with what other shards may have left out, are
+counted exactly in a second pass. So the weights don't depend on how rows are dealt out.
 
 Candidates. A sample of each of 30 hashes; three make a band, ten bands. Everything after works on
-one row per different text.
-
-Links. In a bucket each text is compared with the bucket's first one, and these links give
-components. Buckets whose texts are then still in several components are compared pair by pair across
-components, in blocks of ``BLOCK`` rows, so nothing is lost and no pair is a row; almost all buckets
-have one component by then.
+one row per different text, whose vector is written once.
+
+Links. In a bucket each text is compared with a lead (a large bucket has several, which are compared
+with the bucket's first one), and these links give components. Buckets whose texts are then still in
+several components are compared pair by pair across components. Exact bounds leave pairs out: similar
+texts have total weights within the threshold, so they are in the same class of weight or in
+neighbouring ones; texts of the bucket's largest component needn't meet each other; and the shared
+weight is at most that shared by sums over parts of the hash range. What is left is compared in blocks
+of ``BLOCK_BYTES`` of vectors, so no pair is a row and no similar pair of a bucket goes unseen.
 """
 
 from __future__ import annotations
@@ -29,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, mix64, run_hashes, span_hashes, table, word_spans
+from tideline.llm.common import LOWER, mix64, run_hashes, slices, span_hashes, table, word_hashes, word_spans
 from tideline.llm.components import components
 from tideline.plans.shared import Scratch
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 10, 3
-COMMON, IDF_FLOOR = 0.02, 0.7
-SHARD_BYTES, BLOCK, SKETCH_LEAST = 8 << 20, 512, 0.5
+RARE, IDF_LEAST = 0.001, 0.6
+#: Bytes of text that are worked on at once (shards of counting have as many of them as SHARD_PIECES),
+#: elements that are sampled at once, bytes of vectors on one side of a block.
+PIECE_BYTES, SHARD_PIECES, SAMPLE_AT_ONCE, BLOCK_BYTES = 1 << 20, 8, 1 << 18, 1 << 20
+#: Texts of a bucket that one lead is compared with at least, and parts of the hash range in the bound.
+LEAD_TEXTS, BOUND_PARTS = 256, 512
 
 _rng = np.random.default_rng(20240229)
 #: Draws of r, ln c (both of Gamma(2, 1)) and beta by 16 bits of a hash.
@@ -56,6 +63,9 @@ _UNIT = _sortable(_LNC - _R * (1 - _BETA))  # of weight 1, for which t is 0
 
 def shingles_of(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     """Shingle hashes of each text: of n words, or of all words where there are fewer."""
+    if len(texts) == 1:
+        words = word_hashes(texts[0].translate(LOWER))
+        return [run_hashes(words, n) if len(words) >= n else run_hashes(words, len(words)) if len(words) else words]
     raw = np.frombuffer(b"\n".join(t.translate(LOWER) for t in texts), np.uint8)
     starts, ends = word_spans(raw)
     words = span_hashes(raw, starts, ends)
@@ -73,7 +83,7 @@ class Weights:
         order = np.argsort(hashes)
         share = np.maximum(counts[order] - 1, 1e-9) / max(documents, 1)
         self.hashes = hashes[order]
-        self.idf = np.clip(np.log(share) / math.log(COMMON), IDF_FLOOR, 1.0)
+        self.idf = IDF_LEAST + (1 - IDF_LEAST) * np.clip(np.log(share) / math.log(RARE), 0.0, 1.0)
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         out = np.ones(len(shingles))
@@ -84,31 +94,53 @@ class Weights:
         return out
 
 
-def vector(shingles: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+def vector(u: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Elements and their weights, such that weights of shared elements add up to the sum of the lesser
-    weights: a shingle of tf m has m elements, the k-th of weight idf * ln(k / (k - 1)), the first idf."""
-    u, tf = np.unique(shingles, return_counts=True)
-    idf = weights.of(u)
-    if len(u) == len(shingles):
-        return u, idf
-    level = np.arange(len(shingles)) - np.repeat(np.cumsum(tf) - tf, tf) + 1
-    hashes = np.repeat(u, tf)
-    more = level > 1
-    hashes[more] = mix64(hashes[more] + level[more].astype(np.uint64))
-    step = np.ones(len(level))
-    step[more] = np.log(level[more] / (level[more] - 1))
-    order = np.argsort(hashes)
-    return hashes[order], (np.repeat(idf, tf) * step)[order]
+    weights: a shingle of tf m has m elements, the k-th of weight idf * ln(k / (k - 1)), the first idf.
+    32 bits of a hash do within a pair; the few elements of a document that share them become one."""
+    if len(u) < (n := int(tf.sum())):
+        level = np.arange(n) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+        hashes = np.repeat(u, tf)
+        more = level > 1
+        hashes[more] = mix64(hashes[more] + level[more].astype(np.uint64))
+        step = np.ones(len(level))
+        # up to the k-th these add up to 1 + ln k
+        step[more] = np.log(level[more] / (level[more] - 1))
+        order = np.argsort(hashes)
+        u, idf = hashes[order], (np.repeat(idf, tf) * step)[order]
+    short = (u >> np.uint64(32)).astype(np.uint32)
+    first = np.ones(len(short), bool)
+    np.not_equal(short[1:], short[:-1], out=first[1:])
+    return short[first], idf[first].astype(np.float32)
 
 
 def sample(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Improved consistent weighted samples, a row for each document of distinct shingles and weights."""
+    cuts = [(d, a) for d, (u, _) in enumerate(docs) for a in range(0, len(u), SAMPLE_AT_ONCE)]
+    out = np.empty((len(docs), len(_ODD)), np.uint64)
+    best = np.full((len(docs), len(_ODD)), np.iinfo(np.int64).max)
+    k = 0
+    while k < len(cuts):
+        first, n = k, 0
+        while k < len(cuts) and (n == 0 or n + len(docs[cuts[k][0]][0]) <= SAMPLE_AT_ONCE):
+            n += min(SAMPLE_AT_ONCE, len(docs[cuts[k][0]][0]) - cuts[k][1])
+            k += 1
+        keys, got = _sample([tuple(x[a : a + SAMPLE_AT_ONCE] for x in docs[d]) for d, a in cuts[first:k]])
+        for row, (d, _) in enumerate(cuts[first:k]):
+            less = keys[row] < best[d]
+            best[d][less], out[d][less] = keys[row][less], got[row][less]
+    return out
+
+
+def _sample(docs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, the least of which decides, and samples of documents or pieces of them."""
     u = np.concatenate([d[0] for d in docs])
     w = np.concatenate([d[1] for d in docs])
     starts = np.cumsum([0] + [len(d[0]) for d in docs])[:-1]
     place, odd = np.arange(len(u)), np.flatnonzero(w != 1)
     lnw = np.log(w[odd]).astype(np.float32)
     out = np.empty((len(docs), len(_ODD)), np.uint64)
+    keys = np.empty((len(docs), len(_ODD)), np.int64)
     for k, a in enumerate(_ODD):
         at = (u * a >> np.uint64(48)).astype(np.int64)
         key = _UNIT[at]
@@ -117,14 +149,16 @@ def sample(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             r, b = _R[at[odd]], _BETA[at[odd]]
             t = np.floor(lnw / r + b)
             key[odd] = _sortable(_LNC[at[odd]] - r * (t - b + 1))
-        best = np.minimum.reduceat(key | place, starts) & 0xFFFFFFFF
+        least = np.minimum.reduceat(key | place, starts)
+        best = least & 0xFFFFFFFF
+        keys[:, k] = least >> 32
         got = u[best]
         if len(odd):
             level = np.zeros(len(u), np.float32)
             level[odd] = t
             got = got + level[best].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         out[:, k] = mix64(got)
-    return out
+    return keys, out
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -136,43 +170,48 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def similarity(ua: np.ndarray, wa: np.ndarray, ub: np.ndarray, wb: np.ndarray) -> float:
+    if len(ua) > len(ub):
+        ua, wa, ub, wb = ub, wb, ua, wa
     at = np.minimum(np.searchsorted(ub, ua), len(ub) - 1)
-    shared = float(wa[ub[at] == ua].sum())
-    return shared / (float(wa.sum()) + float(wb.sum()) - shared)
-
-
-def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.nbytes
-        if n >= size:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+    hit = ub[at] == ua
+    shared = float(np.minimum(wa[hit], wb[at[hit]]).sum(dtype=np.float64))
+    return shared / (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - shared)
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
+    return [t.encode() for t in batch.column(column).to_pylist()]
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in _shards(batches, SHARD_BYTES):
-        docs = [np.unique(s) for s in shingles_of([t.encode() for t in shard.column(0).to_pylist()])]
-        u, n = np.unique(np.concatenate(docs), return_counts=True) if docs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keep = n > COMMON / 4 * len(docs)
-        size = np.full(int(keep.sum()), len(docs), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), pa.array(size)], ["h", "n", "docs"])
+    held: list[np.ndarray] = []
+    size = pieces = 0
+
+    def report() -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n > RARE / 2 * size
+        return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), pa.array(np.full(int(keep.sum()), size, np.int64))], ["h", "n", "docs"])
+
+    for piece in slices(batches, (0,), PIECE_BYTES):
+        held += [np.unique(s) for s in shingles_of(_texts(piece, 0))]
+        size, pieces = size + piece.num_rows, pieces + 1
+        if pieces == SHARD_PIECES:
+            yield report()
+            held, size, pieces = [], 0, 0
+    if held:
+        yield report()
 
 
 def _counts(hashes: np.ndarray):
-    """Documents of each of these shingles (sorted), a row a shard and shingle."""
+    """Documents of each of these shingles (sorted), a row a task and shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, SHARD_BYTES):
-            n = np.zeros(len(hashes), np.int64)
-            for s in shingles_of([t.encode() for t in shard.column(0).to_pylist()]):
+        n = np.zeros(len(hashes), np.int64)
+        for piece in slices(batches, (0,), PIECE_BYTES):
+            for s in shingles_of(_texts(piece, 0)):
                 at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                 n[np.unique(at[hashes[at] == s])] += 1
-            there = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[there].view(np.int64)), pa.array(n[there])], ["h", "n"])
+        there = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[there].view(np.int64)), pa.array(n[there])], ["h", "n"])
 
     return run
 
@@ -181,81 +220,68 @@ def corpus_weights(docs: DataFrame, text_col: str = "text") -> Weights:
     texts = docs.where(F.col(text_col).isNotNull()).select(text_col)
     total = texts.count()
     found = texts.mapInArrow(_common, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    may = found.where(F.col("n") + COMMON / 4 * (total - F.col("docs")) > COMMON / 2 * total).select("h").collect()
-    if not may:
+    may = found.where(F.col("n") + RARE / 2 * (total - F.col("docs")) > RARE * total).select("h").toArrow().column(0).to_numpy()
+    if not len(may):
         return Weights(np.zeros(0, np.uint64), np.zeros(0), total)
-    hashes = np.sort(np.array([r.h for r in may], np.int64).view(np.uint64))
-    common = texts.mapInArrow(_counts(hashes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON / 2 * total).collect()
-    return Weights(np.array([r.h for r in common], np.int64).view(np.uint64), np.array([r.n for r in common], np.float64), total)
+    hashes = np.sort(may.view(np.uint64))
+    common = texts.mapInArrow(_counts(hashes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > RARE * total).toArrow()
+    return Weights(common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy().astype(float), total)
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("cid", pa.string()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("u", pa.binary()), ("w", pa.binary()), ("wordless", pa.bool_())])
+_SIGNED_SPARK = "doc_id long, cid string, bands array<long>, total double, u binary, w binary, wordless boolean"
 
 
 def _signatures(weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
-        for shard in _shards(batches, SHARD_BYTES // 8):
-            ids, cids, texts = shard.column(0).to_pylist(), shard.column(1).to_pylist(), shard.column(2).to_pylist()
+        for piece in slices(batches, (2,), PIECE_BYTES):
+            cids = piece.column(1).to_pylist()
             fresh = []
             for k, c in enumerate(cids):  # copies met lately are listed without a signature
                 if c not in seen:
                     seen.add(c)
                     fresh.append(k)
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen = set()
-            bands: list = [None] * len(ids)
-            sketch: list = [None] * len(ids)
-            wordless = [False] * len(ids)
-            docs = []
-            for k, s in zip(fresh, shingles_of([texts[k].encode() for k in fresh]), strict=True):
-                if len(s):
-                    u, tf = np.unique(s, return_counts=True)
-                    docs.append((k, u, weights.of(u) * (1 + np.log(tf))))
-                else:
+            cols: list[list] = [[None] * len(cids) for _ in range(4)]
+            wordless = [False] * len(cids)
+            places, docs = [], []
+            for k, s in zip(fresh, shingles_of([piece.column(2)[k].as_py().encode() for k in fresh]), strict=True) if fresh else ():
+                if not len(s):
                     wordless[k] = True
+                    continue
+                u, tf = np.unique(s, return_counts=True)
+                idf = weights.of(u)
+                short, w = vector(u, tf, idf)
+                cols[1][k], cols[2][k] = float(w.sum(dtype=np.float64)), short.tobytes()
+                cols[3][k] = None if (w == 1).all() else w.tobytes()
+                places.append(k)
+                docs.append((u, idf * (1 + np.log(tf))))
             if docs:
-                got = sample([d[1:] for d in docs])
-                for (k, *_), b, s in zip(docs, band_keys(got).view(np.int64), (got >> np.uint64(32)).astype(np.uint32), strict=True):
-                    bands[k], sketch[k] = b, s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cids, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(wordless, pa.bool_())], ["doc_id", "cid", "bands", "sketch", "wordless"])
-
-    return run
-
-
-def _vectors(weights: Weights):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            cids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fresh = [k for k, c in enumerate(cids) if c != (cids[k - 1] if k else last)]
-            last = cids[-1] if cids else last
-            out: list[list] = [[], [], []]
-            for k, s in zip(fresh, shingles_of([texts[k].encode() for k in fresh]), strict=True):
-                u, w = vector(s, weights)
-                # 32 bits do within a pair; the few elements of a document that share them become one
-                short, at = np.unique((u >> np.uint64(32)).astype(np.uint32), return_index=True)
-                w = w[at]
-                for c, v in zip(out, (cids[k], short.tobytes(), None if (w == 1).all() else w.astype(np.float32).tobytes()), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["cid", "u", "w"])
+                for k, b in zip(places, band_keys(sample(docs)).view(np.int64), strict=True):
+                    cols[0][k] = b
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, _SIGNED.field(j + 2).type) for j, c in enumerate(cols)), pa.array(wordless, pa.bool_())], schema=_SIGNED)
 
     return run
 
 
 def _read(u: bytes, w: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     u = np.frombuffer(u, np.uint32)
-    return u, np.ones(len(u)) if w is None else np.frombuffer(w, np.float32).astype(float)
+    return u, np.ones(len(u), np.float32) if w is None else np.frombuffer(w, np.float32)
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, *vecs = (batch.column(k).to_pylist() for k in range(6))
-            good = [k for k, (ua, wa, ub, wb) in enumerate(zip(*vecs, strict=True)) if similarity(*_read(ua, wa), *_read(ub, wb)) >= threshold - 1e-6]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.string()), pa.array([b[k] for k in good], pa.string())], ["a", "b"])
+        for piece in slices(batches, (2, 4), 4 * PIECE_BYTES):
+            vecs = (piece.column(k).to_pylist() for k in range(2, 6))
+            good = pa.array([similarity(*_read(ua, wa), *_read(ub, wb)) >= threshold - 1e-6 for ua, wa, ub, wb in zip(*vecs, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([piece.column(0).filter(good), piece.column(1).filter(good)], ["a", "b"])
 
     return run
 
 
-def block_links(vecs: list[tuple[np.ndarray, np.ndarray]], comps: list[str], sketches: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def block_links(vecs: list[tuple[np.ndarray, np.ndarray]], comps: list[str], left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links between rows of left and right (masks; equal masks for a block with itself), of different
     components: at least enough to join what the links between these rows join."""
     parent = {c: c for c in comps}
@@ -266,18 +292,20 @@ def block_links(vecs: list[tuple[np.ndarray, np.ndarray]], comps: list[str], ske
         return c
 
     links, rows, cols = [], np.flatnonzero(left), np.flatnonzero(right)
-    total = np.array([w.sum() for _, w in vecs])
-    label = np.array(comps)
+    total = np.array([w.sum(dtype=np.float64) for _, w in vecs])
+    # what two texts share is at most what they share by sums over parts of the hash range
+    parts = np.stack([np.bincount(u // np.uint32((1 << 32) // BOUND_PARTS), w, BOUND_PARTS) for u, w in vecs]).astype(np.float32)
+    label = np.unique(comps, return_inverse=True)[1]
     for i in rows:
         js = cols[(label[cols] != label[i]) & ((cols > i) | ~left[cols])]
+        js = js[np.minimum(total[js], total[i]) >= (threshold - 1e-6) * np.maximum(total[js], total[i])]
         if not len(js):
             continue
-        js = js[(sketches[js] == sketches[i]).mean(axis=1) >= SKETCH_LEAST]
+        most = np.minimum(parts[js], parts[i]).sum(axis=1, dtype=np.float64)
+        js = js[most * (1 + 1e-4) >= (threshold - 1e-6) * (total[js] + total[i] - most)]
         for j in js.tolist():
             a, b = root(comps[i]), root(comps[j])
-            if a == b or min(total[i], total[j]) < (threshold - 1e-6) * max(total[i], total[j]):
-                continue
-            if similarity(*vecs[i], *vecs[j]) >= threshold - 1e-6:
+            if a != b and similarity(*vecs[i], *vecs[j]) >= threshold - 1e-6:
                 parent[max(a, b)] = min(a, b)
                 links.append((int(i), j))
     return links
@@ -287,15 +315,38 @@ def _blocks(threshold: float):
     def run(group):
         cids, comps, mine = (group.column(c).to_pylist() for c in ("cid", "comp", "mine"))
         vecs = [_read(u, w) for u, w in zip(group.column("u").to_pylist(), group.column("w").to_pylist(), strict=True)]
-        sketches = np.stack([np.frombuffer(s, np.uint32) for s in group.column("sketch").to_pylist()])
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         mine = np.array(mine)
-        links = block_links(vecs, comps, sketches, mine == lo, mine == hi, threshold)
+        links = block_links(vecs, comps, mine == lo, mine == hi, threshold)
         return pa.table({"a": pa.array([cids[i] for i, _ in links], pa.string()), "b": pa.array([cids[j] for _, j in links], pa.string())})
 
     return run
 
 
+def _block_rows(placed: DataFrame, threshold: float) -> DataFrame:
+    """The texts of open buckets by block: a row for each block that a text is compared in.
+
+    A bucket's texts are parted by class of weight and by whether they are of the bucket's largest
+    component, and these again by a hash into parts of about ``BLOCK_BYTES``. Two parts make a block if
+    their classes are the same or neighbours and one at least isn't of the largest component.
+    """
+    bucket = ["band", "key"]
+    sizes = placed.groupBy(*bucket, "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy(*bucket).agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"))
+    step = -math.log(threshold - 2e-6)
+    rows = placed.join(largest, bucket).withColumn("kind", 2 * F.floor(F.log("total") / step).cast("int") + F.when(F.col("comp") == F.col("largest"), 1).otherwise(0)).drop("largest")
+    kinds = rows.groupBy(*bucket, "kind").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("parts"))
+    # a bucket has two kinds for each class of weight, so some tens
+    rows = rows.join(kinds.groupBy(*bucket).agg(F.collect_list(F.struct("kind", "parts")).alias("kinds")), bucket)
+    code = lambda kind, part: kind.cast("long") * F.lit(1 << 32) + part
+    own = F.filter("kinds", lambda s: s["kind"] == F.col("kind"))[0]["parts"]
+    rows = rows.withColumn("mine", code(F.col("kind"), F.pmod(F.xxhash64("cid"), own)))
+    near = F.filter("kinds", lambda s: (F.abs(F.shiftright(s["kind"], 1) - F.shiftright(F.col("kind"), 1)) <= 1) & ((s["kind"].bitwiseAND(F.lit(1)) == 0) | (F.col("kind").bitwiseAND(F.lit(1)) == 0)))
+    others = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0), s["parts"] - 1), lambda j: code(s["kind"], j))))
+    out = rows.select(*bucket, "cid", "comp", "mine", F.explode(others).alias("other"))
+    return out.select(*bucket, "cid", "comp", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id and class_id, the least id among the documents of its class.
 
@@ -317,34 +368,34 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("cid"), F.col(text_col).alias("text"))
     weights = corpus_weights(rows)
-    signed = rows.where("text IS NOT NULL").mapInArrow(_signatures(weights), "doc_id long, cid string, bands array<long>, sketch binary, wordless boolean")
-    signed = scratch.keep(signed, "signed")
-    texts = signed.where("bands IS NOT NULL").groupBy("cid").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = scratch.keep(rows.where("text IS NOT NULL").mapInArrow(_signatures(weights), _SIGNED_SPARK), "signed")
+    with_vector = signed.where("u IS NOT NULL")
+    texts = with_vector.groupBy("cid").agg(F.first("bands").alias("bands"), F.first("total").alias("total"), F.first(F.length("u")).alias("size"))
     texts = scratch.keep(texts, "texts")
-    banded = texts.select("cid", F.posexplode("bands").alias("band", "key"))
+    banded = texts.select("cid", "total", "size", F.posexplode("bands").alias("band", "key"))
     lead = banded.groupBy("band", "key").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    lead = scratch.keep(lead, "lead")
-    buckets = scratch.keep(banded.join(lead, ["band", "key"]), "buckets")
+    # n texts have about sqrt(n / LEAD_TEXTS) leads, so that no lead has a large share of them
+    leads = F.ceil(F.sqrt(F.col("n") / LEAD_TEXTS)).cast("int")
+    buckets = banded.join(lead, ["band", "key"]).withColumn("leads", leads).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("leads")).cast("int"))
+    buckets = scratch.keep(buckets.drop("n"), "buckets")
     wanted = scratch.keep(buckets.select("cid").distinct(), "wanted")
     # one plan at every size: the ids of texts in buckets grow with the documents
-    vectors = rows.where("text IS NOT NULL").join(wanted.hint("merge"), "cid").select("cid", "text").mapInArrow(_vectors(weights), "cid string, u binary, w binary")
+    vectors = with_vector.select("cid", "u", "w").join(wanted.hint("merge"), "cid").groupBy("cid").agg(F.first("u").alias("u"), F.first("w").alias("w"))
     vectors = scratch.keep(vectors, "vectors")
-    stars = buckets.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    large = buckets.where("leads > 1")
+    second = scratch.keep(large.groupBy("band", "key", "part").agg(F.min("lead").alias("lead"), F.min("cid").alias("second")), "second")
+    stars = buckets.where("leads = 1").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
+    stars = stars.union(large.join(second.drop("lead"), ["band", "key", "part"]).select("second", "cid")).union(second.select("lead", "second"))
+    stars = stars.where("a <> b").distinct()
     pairs = stars.join(vectors.toDF("a", "ua", "wa"), "a").join(vectors.toDF("b", "ub", "wb"), "b").select("a", "b", "ua", "wa", "ub", "wb")
     links = scratch.keep(pairs.mapInArrow(_verify(threshold), "a string, b string"), "links")
     comps = components(links, scratch, "star")
     # buckets that are still of several components
-    placed = buckets.join(comps.toDF("cid", "label"), "cid", "left").select("band", "key", "cid", "n", F.coalesce("label", "cid").alias("comp"))
+    placed = buckets.join(comps.toDF("cid", "label"), "cid", "left").select("band", "key", "cid", "total", "size", F.coalesce("label", "cid").alias("comp"))
     placed = scratch.keep(placed, "placed")
     open_ = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band", "key")
-    open_ = scratch.keep(open_, "open")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cid"), parts).cast("int")
-    waiting = placed.join(open_, ["band", "key"]).select("band", "key", "cid", "comp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    waiting = waiting.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other")
-    # equal membership in several bands is one piece of work
-    full = waiting.join(vectors, "cid").join(texts.select("cid", "sketch"), "cid")
-    more = full.groupBy("band", "key", "lo", "hi").applyInArrow(_blocks(threshold), "a string, b string")
+    waiting = scratch.keep(_block_rows(placed.join(scratch.keep(open_, "open"), ["band", "key"]), threshold), "waiting")
+    more = waiting.join(vectors, "cid").groupBy("band", "key", "lo", "hi").applyInArrow(_blocks(threshold), "a string, b string")
     links = scratch.keep(links.union(more), "all")
     comps = components(links, scratch, "final")
     least = scratch.keep(signed.groupBy("cid").agg(F.min("doc_id").alias("least"), F.max("wordless").alias("wordless")), "least")
@@ -353,6 +404,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cid")).alias("first")
     named = scratch.keep(of.groupBy("label").agg(first).select("label", F.col("first.least").alias("class_id"), F.col("first.cid").alias("kept")), "named")
     classes = scratch.keep(of.join(named, "label").select("cid", "class_id", "kept"), "classes")
+    # the rest is still read by what is returned
+    scratch.drop_but("signed", "classes")
     stays = F.col("class_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("cid") == F.col("kept")))
     with_words = signed.select("doc_id", "cid").join(classes, "cid", "left").select("doc_id", "cid", F.coalesce("class_id", "doc_id").alias("class_id"), stays.alias("stays"))
     return with_words.union(rows.where("text IS NULL").select("doc_id", "cid", F.col("doc_id").alias("class_id"), F.lit(True).alias("stays")))
