@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tideline.llm import packing
+from tideline.llm.common import HashTable
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -61,3 +62,29 @@ def test_empty_null_ids_and_repeats(spark):
     assert sum(r.length for r in got) == 9 and {r.doc_id for r in got} == {None, 1}
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([], schema), PATH, length=100)
+
+
+def test_hash_table_grows():
+    table = HashTable(4)
+    keys = np.random.default_rng(0).integers(1, 1 << 63, 5000, dtype=np.int64).astype(np.uint64)
+    for k in range(0, 5000, 17):
+        table.put(keys[k : k + 17], np.arange(k, min(k + 17, 5000)))
+    assert (table.get(keys) == np.arange(5000)).all() and (table.get(keys + np.uint64(1)) == -1).all() and table.count == 5000
+
+
+def test_very_long_texts(monkeypatch):
+    many = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576 % 26)}q" for k in range(200_000))
+    monkeypatch.setattr(packing, "_CACHE", 50_000)
+    assert len(packing.Encoder(PATH).encode([many])[0]) > 200_000  # more distinct words than the table first holds
+    monkeypatch.setattr(packing, "_AT_ONCE", 40)
+    texts = [" ".join(ODD), "It's they'LL don'T " * 20, "a" * 100 + " b" * 100, "Σας e\u0301 x \u0301y 日本 z " * 9]
+    for t in texts:
+        assert packing.Encoder(PATH).encode([t])[0].tolist() == brute([t])[0]
+
+
+def test_other_tokenizers_encode_as_they_do():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert packing.follows_rules(PATH) and not packing.follows_rules(path)
+    for t in ODD:
+        assert packing.Encoder(path).encode([t])[0].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]

@@ -10,6 +10,7 @@ groups of partitions of a bounded number and cut anew; what is left of a group i
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import HashTable, span_hashes, table
+from tideline.llm.common import HashTable, slices, span_hashes, table
 from tideline.plans.shared import Scratch
 
-LENGTH, OPEN_WINDOWS, MERGE_PARTITIONS, END_ID = 4096, 64, 64, 2
+LENGTH, OPEN_WINDOWS, MERGE_PARTITIONS, END_ID = 4096, 64, 8, 2
 
 #: Texts of these characters only are split here as the tokenizer's own rules would: no composition,
 #: one-to-one lower case, no other white space, letters or digits, and no quote that could begin a
@@ -31,6 +32,42 @@ _PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-&(-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z
 #: Of the bytes of such texts: 0 white space, 1 letters, 2 digits, 3 others, 4 the mark of a text's end.
 _KIND = np.array([4 if b == 0 else 0 if b in b"\t\n\x0b\x0c\r " else 2 if 48 <= b <= 57 else 1 if 97 <= b <= 122 or b >= 128 else 3 for b in range(256)], np.int8)
 _CACHE = 1_500_000
+#: Bytes of text that are encoded at once, and characters of a piece of a longer text.
+_AT_ONCE = 1 << 20
+#: The rules of the tokenizers that the two shortcuts here, splitting plain texts and cutting
+#: long ones before a space, are known to agree with.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+_CUT = re.compile(r" (?=[0-9A-Za-z])")
+
+
+def follows_rules(path: str) -> bool:
+    """Whether the tokenizer's own description is one that the shortcuts agree with; others encode every
+    text as a whole."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model = found["model"]
+    return all(found.get(k) == v for k, v in _RULES.items()) and model["type"] == "BPE" and not model.get("dropout") and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in found["added_tokens"])
+
+
+def _cut_before_spaces(text: str) -> Iterator[str]:
+    """A text in pieces of about ``_AT_ONCE`` characters, or more where it has no space to cut before."""
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + _AT_ONCE)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 def _byte_names() -> dict[int, str]:
@@ -49,6 +86,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.shortcuts = follows_rules(path)
         self.names = str.maketrans({chr(b): c for b, c in _byte_names().items()})
         self.end_id = end_id
         self._reset()
@@ -96,9 +134,15 @@ class Encoder:
         return codes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text with the closing id."""
+        """The ids of each text with the closing id. A very long text is encoded piece by piece."""
+        if self.shortcuts and len(texts) == 1 and len(texts[0]) > _AT_ONCE:
+            parts = [self._encode([part])[0][:-1] for part in _cut_before_spaces(texts[0])]
+            return [np.concatenate([*parts, np.array([self.end_id], np.uint32)])]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if _PLAIN.match(t) and "<|" not in t]
+        plain = [k for k, t in enumerate(texts) if self.shortcuts and _PLAIN.match(t) and "<|" not in t]
         for k in set(range(len(texts))).difference(plain):
             out[k] = np.array([*self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.end_id], np.uint32)
         if plain:
@@ -160,30 +204,18 @@ def _rows(windows: Iterator[tuple[int, list]], part: int | None, keep_ids: bool)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECE, strict=True)], schema=_PIECE)
 
 
-def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about a million characters, or of one longer text."""
-    first = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size > 1 << 20 or k + 1 == len(texts):
-            yield first, k + 1
-            first, size = k + 1, 0
-
-
 def _pack(path: str, length: int, open_windows: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         encoder, packer, n = Encoder(path, end_id), Packer(length, open_windows), 0
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+        for piece in slices(batches, (1,), _AT_ONCE):
             closed = []
-            for a, b in _spans(texts):
-                for doc, ids in zip(docs[a:b], encoder.encode(texts[a:b]), strict=True):
-                    for window in packer.add((doc, len(ids)), 0, ids):
-                        closed.append(((part << 32) + n, window))
-                        n += 1
+            for doc, ids in zip(piece.column(0).to_pylist(), encoder.encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
+                for window in packer.add((doc, len(ids)), 0, ids):
+                    closed.append(((part << 32) + n, window))
+                    n += 1
             if closed:
                 yield _rows(iter(closed), None, keep_ids)
         if rest := packer.rest():
@@ -231,6 +263,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     A null or empty text is its closing id alone; a null id stays null; rows that repeat are packed
     once each; texts of any length are cut as needed; an empty table gives no pieces; further columns
     are not read. Documents are only told apart by their row, so equal ids are no problem.
+
+    Any tokenizer file may be given. One whose rules are those of ``_RULES`` is encoded word by word, and
+    very long texts in pieces; others encode each text as a whole.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
