@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -10,6 +11,9 @@ from tideline.llm import html as H
 from tideline.llm.html_pages import labelled_pages
 
 
+N = 100_000
+
+
 def test_marginals_by_brute_force():
     rng = random.Random(1)
     for _ in range(40):
@@ -27,7 +31,7 @@ def test_marginals_by_brute_force():
 def test_held_out_pages():
     right = total = 0
     for source in labelled_pages(150, seed=99):
-        page = H.parse(source)
+        page = H.parse(source, labelled=True)
         nodes, parents, x = H.features(page)
         y = []
         for r, k in enumerate(nodes):
@@ -56,6 +60,22 @@ def test_broken_pages():
         assert isinstance(H.main_text(odd), str)
 
 
+def test_attributes_of_untrusted_pages():
+    words = "<p>Some words of the article stand here.</p>"
+    want = H.main_text(f"<article><h1>Title</h1>{words}</article>")
+    for attr in ('data-y="a"', 'data-y=""', 'data-y="0"', "data-y", 'data-id="comments" data-class=footer', "title='class=\"ad\" id=sidebar'", 'x="a>b" =y'):
+        assert H.main_text(f"<article {attr}><h1 {attr}>Title</h1>{words}</article>") == want
+    assert H.parse('<div title="class=ad" CLASS="a b" id=c role>x</div>').words[1] == ["a", "b", "c"]
+    assert H.parse('<div data-y="1">x</div>').label == [None, None]
+
+
+@pytest.mark.parametrize("source", ["<b>" * N + "</i>" * N, "<i><table>" + "<b>" * N + "</i>" * N, "<b>" * N + "<div></div>" * N, "<ul>" + "<b>" * N + "<li>" * N, "<head>" * N, "<div>" * N + "</div>" * N, "<i>" * N + "<p>x" + "</i>" * N])
+def test_time_is_in_proportion_to_the_page(source):
+    began = time.time()
+    assert isinstance(H.main_text(source), str)
+    assert time.time() - began < 20
+
+
 def test_frames(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "", 7), (3, "w", "<article><p>" + "long text here. " * 100_000 + "</p></article>", 8)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()

@@ -10,6 +10,7 @@ labelled pages.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -23,15 +24,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import table
+from tideline.llm.common import slices, table
 from tideline.llm.html_pages import labelled_pages
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: One attribute with its value, so that what stands in another's value is never taken for one.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMING = frozenset("class id role".split())
+_LABEL = "data-y"
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown as text, whatever the model thinks of what is around it.
 _UNSEEN = frozenset("script style noscript template iframe object svg math canvas head title textarea select option datalist audio video".split())
 _RAW = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math", "xmp", "noembed", "noframes")}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An end tag of an inline element reaches no further than these.
+_SCOPE = ("td", "th", "table", "body")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br button".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul search".split())
 #: A start tag closes an open element of the same row, up to the elements named last.
@@ -78,29 +86,86 @@ class Page:
     link_chars: list[int]
 
 
-def parse(source: str) -> Page:
+class _Open:
+    """The open elements. Elements are numbered in document order, so those of a name are in ascending
+    order, and every question is answered from the ends of lists, however deep the page is nested."""
+
+    def __init__(self, tag: list[str]):
+        self.tag = tag
+        self.stack = [0]
+        self.gone: set[int] = set()
+        self.by_name: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
+
+    @property
+    def top(self) -> int:
+        return self.stack[-1]
+
+    def last(self, *names: str) -> int:
+        """The innermost open element of these names, 0 if there is none but the root."""
+        return max((held[-1] for name in names if (held := self.by_name.get(name))), default=0)
+
+    def push(self, k: int) -> None:
+        name = self.tag[k]
+        self.stack.append(k)
+        self.by_name.setdefault(name, []).append(k)
+        if name not in _INLINE:
+            self.blocks.append(k)
+
+    def close_from(self, k: int) -> int:
+        """Closes k and what is open within it; the number of blocks among them."""
+        n = len(self.blocks)
+        while self.stack[-1] >= k:
+            e = self.stack.pop()
+            if e in self.gone:
+                self.gone.discard(e)
+                continue
+            self.by_name[self.tag[e]].pop()
+            if self.tag[e] not in _INLINE:
+                self.blocks.pop()
+        self._clean()
+        return n - len(self.blocks)
+
+    def take_out(self, k: int) -> None:
+        """Closes the innermost inline element of its name alone; what was opened after it stays open."""
+        self.by_name[self.tag[k]].pop()
+        self.gone.add(k)
+        self._clean()
+
+    def _clean(self) -> None:
+        while self.stack[-1] in self.gone:
+            self.gone.discard(self.stack.pop())
+
+
+def _named(raw: str, labelled: bool) -> tuple[list[str], int | None]:
+    """The words of an element's naming attributes, and its label on pages made for training."""
+    words, label = [], None
+    for a in _ATTR.finditer(raw):
+        name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if name in _NAMING:
+            words += [w for w in _SPLIT.split(value.lower()) if w]
+        elif labelled and name == _LABEL:
+            label = int(value)
+    return words, label
+
+
+def parse(source: str, labelled: bool = False) -> Page:
+    """Labels are only read from pages that are said to be labelled; elsewhere the attribute means nothing."""
     page = Page([-1], ["html"], [[]], [None], [], [0], [0])
-    stack: list[int] = [0]
-    links = block = 0
+    open_ = _Open(page.tag)
+    block, no_head_end = 0, False
 
     def text(raw: str) -> None:
         if not raw:
             return
         got = html.unescape(raw)
+        at = open_.top
         if got.strip():
-            at = stack[-1]
             n = len(got) - got.count(" ")
             page.chars[at] += n
-            if links:
+            if open_.by_name.get("a"):
                 page.link_chars[at] += n
-        page.runs.append((block, stack[-1], got))
-
-    def pop(keep: int) -> None:
-        nonlocal links, block
-        while len(stack) > keep:
-            tag = page.tag[stack.pop()]
-            links -= tag == "a"
-            block += tag not in _INLINE
+        page.runs.append((block, at, got))
 
     at, unseen = 0, len(source)
     while at < unseen:
@@ -119,16 +184,13 @@ def parse(source: str) -> Page:
         if not name:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == name:
-                    if name in _INLINE and any(page.tag[e] not in _INLINE for e in stack[k + 1 :]):
-                        links -= name == "a"
-                        del stack[k]  # what was opened after it and isn't inline stays open
-                    else:
-                        pop(k)
-                    break
-                if name in _INLINE and page.tag[stack[k]] in ("td", "th", "table", "body"):
-                    break
+            k = open_.last(name)
+            if not k or name in _INLINE and open_.last(*_SCOPE) > k:
+                continue
+            if name in _INLINE and open_.blocks[-1] > k:
+                open_.take_out(k)
+            else:
+                block += open_.close_from(k)
             continue
         if name == "br":
             text(" ")
@@ -136,44 +198,30 @@ def parse(source: str) -> Page:
         if name in _VOID:
             block += name == "hr"
             continue
-        if name in _RAW and (name in _UNSEEN):
+        if name in _RAW and name in _UNSEEN:
             end = _RAW[name].search(source, at)
             at = end.end() if end else len(source)
             continue
-        if name in ("html", "body") and any(page.tag[e] == name for e in stack):
-            label = next((a[2] or a[3] or a[4] for a in _ATTR.finditer(m[3] or m[6] or "") if a[1].lower() == "data-y"), None)
-            page.label[0] = int(label) if label else page.label[0]
+        words, label = _named(m[3] or m[6] or "", labelled)
+        if name in ("html", "body") and open_.by_name.get(name):
+            page.label[0] = page.label[0] if label is None else label
             continue
         if name == "head":
-            end = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
-            if end:
-                at = end.start()
+            end = None if no_head_end else _HEAD_END.search(source, at)
+            no_head_end = end is None
+            at = end.start() if end else at
             continue
-        if name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = page.tag[stack[k]]
-                if tag == "p":
-                    pop(k)
-                    break
-                if tag not in _INLINE:
-                    break
+        if name in _ENDS_P and page.tag[open_.blocks[-1]] == "p":
+            block += open_.close_from(open_.blocks[-1])
         if name in _SAME:
             same, until = _SAME[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] in until:
-                    break
-                if page.tag[stack[k]] in same:
-                    pop(k)
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6") and page.tag[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            pop(len(stack) - 1)
-        words, label = [], None
-        for a in _ATTR.finditer(m[3] or m[6] or ""):
-            value = a[2] or a[3] or a[4] or ""
-            if a[1].lower() == "data-y":
-                label = int(value)
-            else:
-                words += [w for w in _SPLIT.split(value.lower()) if w]
-        page.parent.append(stack[-1])
+            low = open_.last(*until)
+            inside = [held[k] for s in same if (held := open_.by_name.get(s)) and (k := bisect.bisect_right(held, low)) < len(held)]
+            if inside:
+                block += open_.close_from(min(inside))
+        if name in _HEADINGS and page.tag[open_.top] in _HEADINGS:
+            block += open_.close_from(open_.top)
+        page.parent.append(open_.top)
         page.tag.append(name)
         page.words.append(words)
         page.label.append(label)
@@ -181,8 +229,7 @@ def parse(source: str) -> Page:
         page.link_chars.append(0)
         if (m[3] or m[6] or "").rstrip().endswith("/") and name in _UNSEEN:
             continue
-        stack.append(len(page.tag) - 1)
-        links += name == "a"
+        open_.push(len(page.tag) - 1)
         block += name not in _INLINE
     return page
 
@@ -278,7 +325,7 @@ def train(pages: list[str], ridge: float = 1.0, steps: int = 40) -> Model:
     xs, ys = [], []
     pair = np.ones((2, 2)) * 0.05
     for source in pages:
-        page = parse(source)
+        page = parse(source, labelled=True)
         nodes, parents, x = features(page)
         y: list[int] = []
         for r, k in enumerate(nodes):
@@ -342,7 +389,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", model: Model | None = N
     schema = T.StructType([*(pages.schema[c] for c in own), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, (len(own),), 1 << 20):
             at = batch.schema.get_field_index
             texts = [main_text(h, model) for h in batch.column(at(html_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in own), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [f.name for f in schema])
