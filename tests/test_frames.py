@@ -193,6 +193,83 @@ def test_streams_equal_batches(spark, tmp_path):
             assert (got[k].y_smooth is None and v is None) or got[k].y_smooth == pytest.approx(v, abs=1e-9)
 
 
+def streamed(spark, path, make, batches, schema, **options):
+    """The rows that a stream over these micro-batches gives."""
+    (path / "in").mkdir(parents=True)
+    stream = series.stream_series(spark, str(path / "in"), schema, maxFilesPerTrigger=1)
+    query = make(stream, "x", "y", "seq", ["g"], **options).writeStream.format("memory").queryName(path.name).option("checkpointLocation", str(path / "c")).outputMode("append")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path / "in"))
+        if k == 0:
+            query = query.start()
+        query.processAllAvailable()
+    query.stop()
+    return spark.table(path.name).collect()
+
+
+SIGNALS = "g string, seq long, x double, y double, last boolean, again boolean"
+
+
+@pytest.mark.parametrize("lap", [0, 3])
+def test_late_rows_of_a_stream_with_falling_x(spark, tmp_path, lap):
+    path = tmp_path / f"late{lap}"
+    rows = [("a", k, 100.0 - k, float(k), False, False) for k in range(10)]
+    late = [("a", k, 50.0, 7.0, False, False) for k in (3, 9)]
+    more = [("a", k, 100.0 - k, float(k), False, False) for k in range(10, 20)] + [("a", 99, None, None, True, False)]
+    got = streamed(spark, path, processors.chunk_stream, [rows, late, more], SIGNALS, chunk_size=10, overlap=lap, final="last")
+    assert sorted((r.seq, r.late) for r in got) == sorted([(k, False) for k in range(20)] + [(3, True), (9, True)])
+    assert all(r.y_smooth is None or np.isnan(r.y_smooth) for r in got if r.late)
+
+
+def test_reset_and_a_second_start(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [("a", k, float(k), float(rng.normal()), False, k == 8) for k in range(16)]
+    options = {"fraction": 0.5, "window_capacity": 6}
+    got = streamed(spark, tmp_path / "online", processors.online_stream, [rows[:5], rows[5:]], SIGNALS, reset="again", **options)
+    x, y = (np.array([r[c] for r in rows]) for c in (2, 3))
+    o = Options.of(delta=0.0, **options)
+    want = np.concatenate([chunked.online_values(x[:8], y[:8], o)[0], chunked.online_values(x[8:], y[8:], o)[0]])
+    assert np.allclose([r.y_smooth if r.y_smooth is not None else np.nan for r in sorted(got, key=lambda r: r.seq)], want, equal_nan=True)
+    # of chunks, what waits is dropped
+    rows = [("a", k, float(k), 1.0, False, False) for k in range(13)] + [("a", 13, None, None, False, True)] + [("a", k, float(k), 2.0, False, False) for k in range(14, 26)] + [("a", 26, None, None, True, False)]
+    got = streamed(spark, tmp_path / "chunks", processors.chunk_stream, [rows], SIGNALS, chunk_size=10, overlap=2, final="last", reset="again")
+    assert sorted(r.seq for r in got) == [*range(8), *range(14, 26)]
+
+
+@pytest.mark.parametrize("update", ["incremental"])
+def test_online_arrays_equal_single_fits(update):
+    rng = np.random.default_rng(7)
+    for o in (Options.of(delta=0.0, window_capacity=9, fraction=f, min_points=m, kernel=k) for f, m, k in ((0.5, 2, "tricube"), (0.3, 3, "gaussian"), (1.0, 2, "uniform"))):
+        for x in (np.arange(40.0), np.round(np.sort(rng.uniform(0, 9, 40))), rng.uniform(0, 9, 40), np.zeros(40)):
+            y = rng.normal(size=40)
+            got, _ = chunked.online_values(x, y, o)
+            for k in range(2, 40):
+                a = max(0, k - 8)
+                want = np.nan if k + 1 < o.min_points else kernel.fit_last(x[a : k + 1], y[a : k + 1], o)
+                assert got[k] == pytest.approx(want, abs=1e-12)
+            assert np.array_equal(chunked.online_values(x, y, o, 25)[0], got[25:], equal_nan=True)
+
+
+def test_data_is_checked_for_lines_too(spark):
+    schema = "g string, v double, y double, w double"
+    good = [("a", 1.0, 2.0, 1.0), ("a", 2.0, 3.0, 0.0)]
+    for fraction in (0.5, 1):
+        assert batch.smooth(spark.createDataFrame(good, schema), "v", "y", ["g"], "w", fraction=fraction).count() == 2
+        for bad, why in (([("b", 1.0, 2.0, 1.0)], "two points"), ([("b", None, 2.0, 1.0)] * 2, "x"), ([("b", 1.0, float("nan"), 1.0)] * 2, "y"), ([("b", 1.0, 2.0, -1.0), ("b", 2.0, 2.0, 1.0)], "weight")):
+            with pytest.raises(Exception, match=why):
+                batch.smooth(spark.createDataFrame(good + bad, schema), "v", "y", ["g"], "w", fraction=fraction).collect()
+
+
+def test_results_one_after_the_other(spark):
+    a = spark.createDataFrame([(1.0, 0.5, 2)], "y_smooth double, fraction_used double, iterations_used int")
+    b = spark.createDataFrame([(2.0, 4.0, 0.9)], "y_smooth double, standard_error double, fraction_used double")
+    got = sorted(batch.concat_results(a, b).collect(), key=lambda r: r.y_smooth)
+    assert [(r.y_smooth, r.fraction_used, r.iterations_used, r.standard_error) for r in got] == [(1.0, 0.5, 2, None), (2.0, 0.5, 2, 4.0)]
+    assert kernel.df_from_leverages([0.5, 0.25, 1.0]) == 1.75
+    with pytest.raises(InvalidOption, match="one fraction"):
+        Options.of(cv_fractions=())
+
+
 def test_files(spark, tmp_path):
     _, df = frame(spark, 12)
     for kind in ("parquet", "csv", "json"):

@@ -63,7 +63,7 @@ def smooth(df: DataFrame, x: str, y: str, by: Sequence[str] = (), weight: str |
     base = prepared(df, x, y, by, weight, dropna, fields)
     own = [c for c in base.columns if not c.startswith("__")]
     if o.fraction >= 1 and not o.cv_fractions and not o.wants_se:
-        return _line(base, own, by)
+        return _line(base, own, by, weight is not None)
     schema = T.StructType([*(base.schema[c] for c in own), *(T.StructField(f, T.DoubleType()) for f in fields)])
 
     def run(group):
@@ -74,9 +74,20 @@ def smooth(df: DataFrame, x: str, y: str, by: Sequence[str] = (), weight: str |
     return base.groupBy(*(by or [F.lit(0).alias("__all")])).applyInArrow(run, schema)
 
 
-def _line(base: DataFrame, own: list[str], by: list[str]) -> DataFrame:
-    """Least squares over the whole series, by aggregates alone. Joined back on the keys, null-safe."""
-    stats = base.groupBy(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by))).agg(F.avg("__x").alias("__xm"), F.avg("__y").alias("__ym"), (F.var_pop("__x") * F.count("__x")).alias("__var"), (F.covar_pop("__x", "__y") * F.count("__x")).alias("__cov"))
+def _line(base: DataFrame, own: list[str], by: list[str], weighted: bool = False) -> DataFrame:
+    """Least squares over the whole series, by aggregates alone, which check the data as well. Joined back
+    on the keys, null-safe. Weights take no part but are checked."""
+    infinite = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    wrong = [F.sum(infinite(c).cast("int")).alias(f"__bad{c}") for c in ("__x", "__y")]
+    wrong.append(F.sum((infinite("__w") | (F.col("__w") < 0)).cast("int") if weighted else F.lit(0)).alias("__bad__w"))
+    stats = base.groupBy(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by))).agg(F.count("*").alias("__n"), *wrong, F.avg("__x").alias("__xm"), F.avg("__y").alias("__ym"), (F.var_pop("__x") * F.count("__x")).alias("__var"), (F.covar_pop("__x", "__y") * F.count("__x")).alias("__cov"))
+    fault = (
+        F.when(F.col("__n") < 2, F.concat(F.lit("two points at least are needed: "), F.col("__n")))
+        .when(F.col("__bad__x") > 0, F.concat(F.lit("x isn't finite in rows: "), F.col("__bad__x")))
+        .when(F.col("__bad__y") > 0, F.concat(F.lit("y isn't finite in rows: "), F.col("__bad__y")))
+        .when(F.col("__bad__w") > 0, F.concat(F.lit("weight must be finite and not negative, in rows: "), F.col("__bad__w")))
+    )
+    stats = stats.withColumn("__ym", F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("__ym")))
     on = None
     for i, c in enumerate(by):
         same = F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}"))
@@ -86,6 +97,19 @@ def _line(base: DataFrame, own: list[str], by: list[str]) -> DataFrame:
     return both.select(*(F.col(f"`{c}`") for c in own), fit.alias("y_smooth"), (F.col("__y") - fit).alias("residual"), F.lit(1.0).alias("robustness_weight"))
 
 
+def concat_results(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of several results one after the other, by column name; columns that only some have are null in
+    the others. What was used for the whole, fraction and iterations, is the first result's."""
+    used = [c for c in ("fraction_used", "iterations_used") if c in first.columns]
+    out = first
+    for df in others:
+        out = out.unionByName(df.drop(*used), allowMissingColumns=True)
+    if used:  # one row
+        kept = first.agg(*(F.max(c).alias(f"__{c}") for c in used))
+        out = out.crossJoin(F.broadcast(kept)).select(*(F.col(f"__{c}").alias(c) if c in used else F.col(f"`{c}`") for c in out.columns))
+    return out
+
+
 def summarize(df: DataFrame, x: str, y: str, by: Sequence[str] = (), weight: str | None = None, *, dropna: bool = False, **options) -> DataFrame:
     """A row for each series: n, the fraction and iterations used, cross-validation scores, diagnostics."""
     from dataclasses import replace

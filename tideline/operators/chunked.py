@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,8 @@ from tideline.options import InvalidData, Options, UnsupportedFeature
 from tideline.plans.ranks import global_rank
 from tideline.plans.shared import Scratch
 
-_CHUNK_FIELDS = ("y_smooth", "residual", "robustness_weight")
-_ONLINE_FIELDS = ("y_smooth", "residual", "robustness_weight")
+_CHUNK_FIELDS = ("y_smooth", "residual", "robustness_weight", "chunk")
+_ONLINE_FIELDS = ("y_smooth", "residual", "robustness_weight", "window_size")
 
 
 def merged(merge: str, previous: Column, current: Column, share: Column) -> Column:
@@ -39,7 +40,8 @@ def _ranked(base: DataFrame, by: Sequence[str], order: Sequence[str], name: str)
 def smooth_chunked(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, dropna: bool = False, **options) -> DataFrame:
     """``df`` with ``y_smooth``, ``residual`` and ``robustness_weight``, fitted in chunks of ``chunk_size``
     rows in the order of x; rows that tie in x are ordered by y. Every row is returned once, also where the
-    last chunk is shorter than the overlap. The span is a share of the chunk with its overlap."""
+    last chunk is shorter than the overlap. The span is a share of the chunk with its overlap. ``chunk`` is
+    the number, from 0, of the chunk with which a row is sent."""
     options = {"delta": 0.0} | options
     o = Options.of(**options)
     if o.wants_se and o.level is not None:
@@ -82,40 +84,70 @@ def smooth_chunked(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, dro
         value = lambda v: F.when(F.col(f"{v}c").isNull(), F.col(f"{v}p")).otherwise(merged(o.merge, F.col(f"{v}p"), F.col(f"{v}c"), share)).alias(v)
         joined = group.select(*(F.col(f"__row.`{c}`").alias(c) for c in own), "__rank", F.lit(False).alias("__lap"), "__y", value("__fit"), value("__rw"))
         out = alone.union(joined)
-    return out.select(*(F.col(f"`{c}`") for c in own), F.col("__fit").alias("y_smooth"), (F.col("__y") - F.col("__fit")).alias("residual"), F.col("__rw").alias("robustness_weight"))
+    # the rows of an overlap are sent with the next chunk, the last ones of all with the end
+    sent = F.when(place >= size - lap, chunk + 1).otherwise(chunk) if lap else chunk
+    return out.select(*(F.col(f"`{c}`") for c in own), F.col("__fit").alias("y_smooth"), (F.col("__y") - F.col("__fit")).alias("residual"), F.col("__rw").alias("robustness_weight"), sent.alias("chunk"))
 
 
-def chunk_diagnostics(smoothed: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """The cumulative measures of chunked results: the residual SD is the sample's, not the MAD's."""
+def chunk_diagnostics(smoothed: DataFrame, y: str, by: Sequence[str] = (), *, running: bool = False) -> DataFrame:
+    """The cumulative measures of chunked results: the residual SD is the sample's, not the MAD's. With
+    ``running`` a row for each chunk, of what has been sent up to it."""
     r, v = F.col("residual"), F.col(f"`{y}`").cast("double")
+    if running:
+        return _running_measures(smoothed, r, v, by)
     s = smoothed.groupBy(*(F.col(f"`{c}`") for c in by)).agg(F.count("*").alias("n"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"), F.sum(r * r).alias("_rr"), F.sum(v * v).alias("_yy"), F.sum(v).alias("_y"), F.stddev_samp(r).alias("_sd"))
     total = F.col("_yy") - F.col("_y") * F.col("_y") / F.col("n")
     r2 = F.when(total > 1e-12 * F.abs("_yy"), 1 - F.col("_rr") / total).when((F.col("_rr") < 1e-12 * F.abs("_yy")) | (F.col("_rr") == 0), 1.0).otherwise(0.0)
     return s.select(*(F.col(f"`{c}`") for c in by), "n", "rmse", "mae", r2.alias("r_squared"), F.when(F.col("n") > 1, F.col("_sd")).otherwise(F.col("rmse")).alias("residual_sd"))
 
 
+def _running_measures(smoothed: DataFrame, r: Column, v: Column, by: Sequence[str]) -> DataFrame:
+    keys = [F.col(f"`{c}`") for c in by]
+    sums = {"n": F.count("*"), "_r": F.sum(r), "_rr": F.sum(r * r), "_a": F.sum(F.abs(r)), "_v": F.sum(v), "_vv": F.sum(v * v)}
+    # a row a chunk goes through the window
+    upto = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    s = smoothed.groupBy(*keys, "chunk").agg(*(c.alias(k) for k, c in sums.items()))
+    s = s.select(*keys, "chunk", *(F.sum(k).over(upto).alias(k) for k in sums))
+    n, total = F.col("n"), F.col("_vv") - F.col("_v") * F.col("_v") / F.col("n")
+    r2 = F.when(total > 1e-12 * F.abs("_vv"), 1 - F.col("_rr") / total).when((F.col("_rr") < 1e-12 * F.abs("_vv")) | (F.col("_rr") == 0), 1.0).otherwise(0.0)
+    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("_rr") - F.col("_r") * F.col("_r") / n) / F.greatest(n - 1, F.lit(1))))
+    rmse = F.sqrt(F.col("_rr") / n)
+    return s.select(*keys, "chunk", "n", rmse.alias("rmse"), (F.col("_a") / n).alias("mae"), r2.alias("r_squared"), F.when(n > 1, sd).otherwise(rmse).alias("residual_sd"))
+
+
 def online_values(x: np.ndarray, y: np.ndarray, o: Options, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed values and robustness weights of the rows from ``first``; NaN until min_points have come."""
-    fit, rw = np.full(len(x) - first, np.nan), np.full(len(x) - first, np.nan)
-    for k in range(first, len(x)):
-        a = max(0, k + 1 - o.window_capacity)
-        wx, wy = x[a : k + 1], y[a : k + 1]
-        if len(wx) < o.min_points:
-            continue
-        rw[k - first] = 1.0
-        if len(wx) == 2:
-            fit[k - first] = wy[1] if wx[1] != wx[0] else wy.mean()
-        elif o.update == "incremental":
-            fit[k - first] = kernel.fit_last(wx, wy, o)
+    """Smoothed values and robustness weights of the rows from ``first``; NaN until min_points have come.
+
+    Incremental values of rows whose x is the largest of their window come from arrays of windows; only
+    rows where x falls, and full updates, are worked out one by one."""
+    n = len(x)
+    fit, rw = np.full(n, np.nan), np.full(n, np.nan)
+    rows = np.arange(first, n)
+    size = np.minimum(rows + 1, o.window_capacity)
+    rows, size = rows[size >= o.min_points], size[size >= o.min_points]
+    rw[rows] = 1.0
+    if len(two := rows[size == 2]):
+        fit[two] = np.where(x[two] != x[two - 1], y[two], 0.5 * (y[two] + y[two - 1]))
+    rows, size = rows[size > 2], size[size > 2]
+    if o.update == "incremental" and len(rows):
+        ends = sliding_window_view(np.concatenate([np.full(o.window_capacity - 1, -np.inf), x]), o.window_capacity)
+        top = np.concatenate([x[part] >= ends[part].max(axis=1) for part in np.array_split(rows, 1 + len(rows) * o.window_capacity // kernel.BLOCK)])
+        fit[rows[top]] = kernel.fit_last_of_windows(x, y, rows[top], size[top], o)
+        rows, size = rows[~top], size[~top]
+    for k, m in zip(rows.tolist(), size.tolist(), strict=True):
+        wx, wy = x[k + 1 - m : k + 1], y[k + 1 - m : k + 1]
+        if o.update == "incremental":
+            fit[k] = kernel.fit_last(wx, wy, o)
         else:
             f = kernel.fit_series(wx, wy, None, o)
-            fit[k - first], rw[k - first] = f.y_smooth[-1], f.robustness_weight[-1]
-    return fit, rw
+            fit[k], rw[k] = f.y_smooth[-1], f.robustness_weight[-1]
+    return fit[first:], rw[first:]
 
 
 def smooth_online(df: DataFrame, x: str, y: str, seq: Sequence[str], by: Sequence[str] = (), *, block: int | None = None, **options) -> DataFrame:
     """``df`` with ``y_smooth``, ``residual`` and ``robustness_weight`` as a window over the last
-    ``window_capacity`` rows in the order of ``seq`` gives them: null until ``min_points`` rows have come.
+    ``window_capacity`` rows in the order of ``seq`` gives them: null until ``min_points`` rows have come;
+    and ``window_size``, the rows that the window holds then.
     ``update="full"`` smooths the whole window, in the order of x, for each row. Series are cut into blocks
     of ``block`` rows, each with the rows before it that its windows reach."""
     options = {"delta": 0.0} | options
@@ -130,7 +162,7 @@ def smooth_online(df: DataFrame, x: str, y: str, seq: Sequence[str], by: Sequenc
     chunk = F.floor(F.col("__rank") / block).cast("long")
     reached = F.when(F.col("__rank") % block >= block - reach, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
     rows = ranked.withColumn("__chunk", F.explode(reached))
-    schema = T.StructType([*(base.schema[c] for c in own), *(T.StructField(n, T.DoubleType()) for n in _ONLINE_FIELDS)])
+    schema = T.StructType([*(base.schema[c] for c in own), *(T.StructField(n, T.DoubleType()) for n in _ONLINE_FIELDS[:3]), T.StructField("window_size", T.LongType())])
 
     def run(group):
         group = group.take(pa.array(np.argsort(group.column("__rank").to_numpy(), kind="stable")))
@@ -141,6 +173,7 @@ def smooth_online(df: DataFrame, x: str, y: str, seq: Sequence[str], by: Sequenc
         fit, rw = online_values(gx, gy, o, first)
         mine = group.select(own).slice(first)
         null = lambda v: pa.array(v, mask=np.isnan(v))
-        return mine.append_column("y_smooth", null(fit)).append_column("residual", null(gy[first:] - fit)).append_column("robustness_weight", null(rw))
+        held = np.minimum(group.column("__rank").to_numpy()[first:] + 1, o.window_capacity)
+        return mine.append_column("y_smooth", null(fit)).append_column("residual", null(gy[first:] - fit)).append_column("robustness_weight", null(rw)).append_column("window_size", pa.array(held))
 
     return rows.groupBy(*by, "__chunk").applyInArrow(run, schema)

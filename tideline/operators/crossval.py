@@ -41,7 +41,7 @@ def predict_forward(x: np.ndarray, fit: np.ndarray, at: np.ndarray) -> np.ndarra
         elif v >= x[-1]:
             out[k] = fit[-1]
         else:
-            while left + 1 < len(x) - 1 and x[left + 1] < v:
+            while left + 1 < len(x) - 1 and x[left + 1] <= v:
                 left += 1
             gap = x[left + 1] - x[left]
             out[k] = 0.5 * (fit[left] + fit[left + 1]) if gap <= 0 else fit[left] + (v - x[left]) / gap * (fit[left + 1] - fit[left])

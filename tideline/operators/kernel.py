@@ -15,18 +15,25 @@ from numpy.lib.stride_tricks import sliding_window_view
 
 from tideline.options import InvalidData, Options
 
-_BLOCK = 1 << 21
+#: Elements of windows that are worked on at once, and numbers that are kept from pass to pass.
+BLOCK, _KEPT = 1 << 18, 1 << 24
+#: Windows from this width on are taken one by one.
+_WIDE = 1 << 11
 _TINY = np.finfo(float).tiny
 
 
+def _cube(a: np.ndarray) -> np.ndarray:
+    return a * a * a
+
+
 def kernel_weight(u: np.ndarray, kernel: str) -> np.ndarray:
     """K(u) for u >= 0. Bounded kernels are 0 from 1 on, the Gaussian is beyond 6 at its floor."""
     if kernel == "gaussian":
         return np.where(u > 6, 0.0, np.maximum(np.exp(-0.5 * u * u), _TINY))
     k = {
-        "tricube": lambda: (1 - u**3) ** 3,
+        "tricube": lambda: _cube(1 - u * u * u),
         "epanechnikov": lambda: 1 - u * u,
-        "biweight": lambda: (1 - u * u) ** 2,
+        "biweight": lambda: np.square(1 - u * u),
         "triangle": lambda: 1 - u,
         "cosine": lambda: np.cos(0.5 * math.pi * u),
         "uniform": lambda: np.ones_like(u),
@@ -37,7 +44,10 @@ def kernel_weight(u: np.ndarray, kernel: str) -> np.ndarray:
 def window_weight(d: np.ndarray, h, kernel: str) -> np.ndarray:
     """Weights of distances d under bandwidth h: 1 up to 0.001 h, 0 beyond 0.999 h, K(d / h) between."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(d <= 0.001 * h, 1.0, np.where(d > 0.999 * h, 0.0, kernel_weight(d / h, kernel)))
+        k = kernel_weight(d / h, kernel)
+    k[d > 0.999 * h] = 0.0
+    k[d <= 0.001 * h] = 1.0
+    return k
 
 
 def span(n: int, fraction: float) -> int:
@@ -57,37 +67,51 @@ def window_starts(x: np.ndarray, at: np.ndarray, q: int, centred: bool = False)
     return np.where(left > start, left, np.minimum(start, np.searchsorted(s, 2 * x[at], "right")))
 
 
-def _local_fits(x, y, at, q, rw, w, o: Options) -> np.ndarray:
-    """Fitted values at the indices ``at``. rw: robustness weights or None; w: case weights or None."""
-    n = len(x)
-    q = min(q, n)
-    out = np.empty(len(at))
-    left = window_starts(x, at, q)
-    xs, ys = sliding_window_view(x, q), sliding_window_view(y, q)
-    case = None if rw is None and w is None else sliding_window_view(rw if w is None else w if rw is None else rw * w, q)
-    for a in range(0, len(at), max(1, _BLOCK // q)):
-        rows = slice(a, a + max(1, _BLOCK // q))
-        l, i = left[rows], at[rows]
-        dx, yy = xs[l] - x[i][:, None], ys[l]
-        h = np.maximum(-dx[:, 0], dx[:, -1])
-        k = np.where(h[:, None] > 0, window_weight(np.abs(dx), h[:, None], o.kernel), 1.0)
-        if case is not None:
-            k *= case[l]
-        sw = k.sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            xm, ym = (k * dx).sum(axis=1) / sw, (k * yy).sum(axis=1) / sw
-            cx = dx - xm[:, None]
-            var = (k * cx * cx).sum(axis=1)
-            slope = (k * cx * yy).sum(axis=1) / var
-            line = ym - slope * xm
-        flat = (var <= np.maximum(1e-7, np.finfo(float).eps * h * h)) | (h <= 0)
-        got = np.where(flat, ym, line)
-        none = sw <= 0
-        if none.any():
-            instead = yy[none].mean(axis=1) if o.fallback == "use_local_mean" else y[i[none]]
-            got[none] = np.nan if o.fallback == "return_none" and o.strict_none else instead
-        out[rows] = got
-    return out
+class LocalFits:
+    """The weighted lines at the indices ``at``, pass after pass. Only the robustness weights change between
+    passes, so the products of kernel weights and distances are kept where they fit into ``_KEPT`` numbers,
+    and a pass is five sums over windows of one array each."""
+
+    def __init__(self, x, y, at, q: int, w, o: Options):
+        self.x, self.y, self.at, self.q, self.w, self.o = x, y, at, min(q, len(x)), w, o
+        self.left = window_starts(x, at, self.q)
+        self.h = np.maximum(x[at] - x[self.left], x[self.left + self.q - 1] - x[at])
+        step = max(1, BLOCK // self.q) if self.q < _WIDE else 1
+        self.blocks = [slice(a, a + step) for a in range(0, len(at), step)]
+        self.kept = [self._products(b) for b in self.blocks] if 3 * len(at) * self.q <= _KEPT else None
+
+    def _products(self, block: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = self.h[block][:, None]
+        left = self.left[block] if self.q < _WIDE else slice(int(self.left[block][0]), int(self.left[block][0]) + 1)
+        dx = sliding_window_view(self.x, self.q)[left] - self.x[self.at[block]][:, None]
+        k = np.where(h > 0, window_weight(np.abs(dx), h, self.o.kernel), 1.0)
+        kd = k * dx
+        return k, kd, kd * dx
+
+    def __call__(self, rw: np.ndarray | None) -> np.ndarray:
+        """rw: robustness weights, None for ones."""
+        v = rw if self.w is None else self.w if rw is None else rw * self.w
+        z = self.y if v is None else v * self.y
+        vw, zw = (None if a is None else sliding_window_view(a, self.q) for a in (v, z))
+        # one wide window a block is a slice, many narrow ones are gathered
+        many = self.q < _WIDE
+        dot, out = (lambda a, b: np.einsum("ij,ij->i", a, b)) if many else lambda a, b: a @ b, np.empty(len(self.at))
+        for n, block in enumerate(self.blocks):
+            k, kd, kdd = self._products(block) if self.kept is None else self.kept[n]
+            left, h = self.left[block], self.h[block]
+            at = left if many else int(left[0])
+            sw, sx, sxx = (a.sum(axis=1) if vw is None else dot(a, vw[at]) for a in (k, kd, kdd))
+            sy, sxy = dot(k, zw[at]), dot(kd, zw[at])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                xm, ym = sx / sw, sy / sw
+                var = sxx - sx * xm
+                got = np.where((var <= np.maximum(1e-7, np.finfo(float).eps * h * h)) | (h <= 0), ym, ym - (sxy - sx * ym) / var * xm)
+            none = sw <= 0
+            if none.any():
+                instead = sliding_window_view(self.y, self.q)[left[none]].mean(axis=1) if self.o.fallback == "use_local_mean" else self.y[self.at[block][none]]
+                got[none] = np.nan if self.o.fallback == "return_none" and self.o.strict_none else instead
+            out[block] = got
+        return out
 
 
 def anchors(x: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -112,28 +136,37 @@ def anchors(x: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(found), np.array(copies, np.int64).reshape(-1, 2)
 
 
-def smooth_pass(x, y, q, at, copies, rw, w, o: Options) -> np.ndarray:
-    """One pass: fits at the anchors, copies for ties, lines between."""
-    fit = _local_fits(x, y, at, q, rw, w, o)
-    if len(at) == len(x):
-        return fit
-    # knots: anchors and the ends of their tie blocks; zero-width gaps hold no point
-    knots, values = at, fit
-    if len(copies):
-        place = np.searchsorted(at, copies[:, 0])
-        knots = np.concatenate([at, copies[:, 1]])
-        values = np.concatenate([fit, fit[place]])
-        order = np.argsort(knots, kind="stable")
-        knots, values = knots[order], values[order]
-    index = np.arange(len(x))
-    right = np.clip(np.searchsorted(knots, index, "left"), 1, len(knots) - 1) if len(knots) > 1 else np.zeros(len(x), np.int64)
-    left = np.maximum(right - 1, 0)
-    x0, x1, y0, y1 = x[knots[left]], x[knots[right]], values[left], values[right]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = (x - x0) / (x1 - x0)
-        out = np.where(x1 > x0, y0 + share * (y1 - y0), np.where(y0 == y1, y0, 0.5 * (y0 + y1)))
-    out[knots] = values
-    return out
+class Between:
+    """The values of all points from those of the anchors: copies for ties, lines between."""
+
+    def __init__(self, x, at, copies):
+        self.whole = len(at) == len(x)
+        if self.whole:
+            return
+        # knots: anchors and the ends of their tie blocks; zero-width gaps hold no point
+        self.knots, self.source = at, np.arange(len(at))
+        if len(copies):
+            knots = np.concatenate([at, copies[:, 1]])
+            order = np.argsort(knots, kind="stable")
+            self.knots, self.source = knots[order], np.concatenate([self.source, np.searchsorted(at, copies[:, 0])])[order]
+        last = len(self.knots) - 1
+        sizes = np.diff(np.concatenate([[0], self.knots[1:] if last else self.knots[:0], [len(x)]]))
+        self.left = np.minimum(np.repeat(np.arange(len(sizes)), sizes), max(last - 1, 0))
+        self.right = np.minimum(self.left + 1, last)
+        x0, x1 = x[self.knots[self.left]], x[self.knots[self.right]]
+        self.wide = x1 > x0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.share = (x - x0) / (x1 - x0)
+
+    def __call__(self, fit: np.ndarray) -> np.ndarray:
+        if self.whole:
+            return fit
+        values = fit[self.source]
+        y0, y1 = values[self.left], values[self.right]
+        with np.errstate(invalid="ignore"):
+            out = np.where(self.wide, y0 + self.share * (y1 - y0), np.where(y0 == y1, y0, 0.5 * (y0 + y1)))
+        out[self.knots] = values
+        return out
 
 
 def pad(x, y, w, q: int, policy: str):
@@ -185,8 +218,8 @@ def standard_errors(x, y, fit, q, rw, kernel: str) -> np.ndarray:
     xs, rs, ws = (sliding_window_view(v, q) for v in (x, r2, rw))
     out = np.zeros(n)
     one = float(kernel_weight(np.zeros(1), kernel)[0])
-    for a in range(0, n, max(1, _BLOCK // q)):
-        rows = slice(a, a + max(1, _BLOCK // q))
+    for a in range(0, n, max(1, BLOCK // q)):
+        rows = slice(a, a + max(1, BLOCK // q))
         l, i = left[rows], at[rows]
         dx = xs[l] - x[i][:, None]
         h = np.maximum(-dx[:, 0], dx[:, -1])
@@ -248,6 +281,11 @@ class Diagnostics:
     residual_sd: float
 
 
+def df_from_leverages(leverages) -> float:
+    """Effective degrees of freedom: the trace of the smoother, which is the sum of the leverages."""
+    return float(np.sum(np.asarray(leverages, float)))
+
+
 def diagnose(y, fit, se=None) -> Diagnostics:
     r = y - fit
     n, rss, sd = len(y), float((r * r).sum()), residual_sd(r)
@@ -255,7 +293,7 @@ def diagnose(y, fit, se=None) -> Diagnostics:
     r2 = 1.0 if n == 1 else (1 - rss / total if total > 0 else float(rss == 0))
     df = aic = aicc = None
     if se is not None and sd > 0:
-        leverage = float(np.clip((se / sd) ** 2, 0, 1).sum())
+        leverage = df_from_leverages(np.clip((se / sd) ** 2, 0, 1))
         df = leverage if leverage > 0 else None
     if df is not None:
         aic = n * math.log(rss / n) + 2 * df if rss > 0 else math.inf
@@ -311,10 +349,11 @@ def fit_sorted(x, y, w, o: Options, fraction: float, delta: float):
     q = span(n, fraction)
     px, py, pw, k = pad(x, y, w, q, o.boundary)
     at, copies = anchors(px, delta)
+    local, between = LocalFits(px, py, at, q, pw, o), Between(px, at, copies)
     rw, fit, done = np.ones(len(px)), py, 0
     for t in range(o.iterations + 1):
         before, done = fit, t
-        fit = smooth_pass(px, py, q, at, copies, rw if t else None, pw, o)
+        fit = between(local(rw if t else None))
         if o.auto_converge is not None and t and np.abs(fit - before).max() <= o.auto_converge:
             break
         if t < o.iterations:
@@ -377,3 +416,27 @@ def fit_last(x: np.ndarray, y: np.ndarray, o: Options) -> float:
     if var <= max(1e-7, np.finfo(float).eps * h * h):
         return float(ym)
     return float(ym - (w * (dx - xm) * wy).sum() / var * xm)
+
+
+def fit_last_of_windows(x: np.ndarray, y: np.ndarray, rows: np.ndarray, sizes: np.ndarray, o: Options) -> np.ndarray:
+    """:func:`fit_last` of the windows of ``sizes`` points that end at ``rows``, whose last x is the largest."""
+    q = np.maximum(2, np.minimum(sizes, np.ceil(o.fraction * sizes).astype(np.int64)))
+    out = np.empty(len(rows))
+    for width in np.unique(q).tolist():
+        mine = np.flatnonzero(q == width)
+        for part in np.array_split(mine, 1 + len(mine) * width // BLOCK):
+            ends = rows[part]
+            wx, wy = (sliding_window_view(v, width)[ends - width + 1] for v in (x, y))
+            dx = wx - wx[:, -1:]
+            h = -dx[:, 0]
+            w = window_weight(np.abs(dx), h[:, None], o.kernel)
+            sw = w.sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                xm, ym = (w * dx).sum(axis=1) / sw, (w * wy).sum(axis=1) / sw
+                cx = w * (dx - xm[:, None])
+                var = (cx * (dx - xm[:, None])).sum(axis=1)
+                line = ym - (cx * wy).sum(axis=1) / var * xm
+            got = np.where(var <= np.maximum(1e-7, np.finfo(float).eps * h * h), ym, line)
+            got = np.where(sw <= 0, wy.mean(axis=1) if o.fallback == "use_local_mean" else wy[:, -1], got)
+            out[part] = np.where(h <= 0, wy.mean(axis=1), got)
+    return out

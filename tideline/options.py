@@ -91,6 +91,8 @@ class Options:
                 except InvalidOption as e:
                     faults.append(str(e))
                     given.pop(name)
+        if given.get("cv_fractions") is not None and not len(given["cv_fractions"]):
+            faults.append("cv_fractions must name one fraction at least")
         given["cv_fractions"] = tuple(given.get("cv_fractions") or ())
         out = cls(**given)
         if out.cv_fractions and out.cv is None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import exprs
 from tideline.operators import batch, chunked, kernel
+from tideline.options import InvalidOption, Options
 from tideline.plans import oracle
 from tideline.plans.padding import padded
 from tideline.plans.relational import smooth_large
@@ -136,9 +137,15 @@ SELECT o_orderkey, round(ym + b * (x - xm), 1) AS y_smooth FROM s JOIN m USING (
 _BOUNDS = {"fraction": 0.5, "iterations": 1, "delta": 0.0, "confidence_level": 0.95, "prediction_level": 0.95}
 
 
-def intervals(spark: SparkSession, d: str) -> DataFrame:
+_LEVELS = {"intervals": (0.95, 0.95), "intervals_99": (0.99, 0.99), "intervals_90": (0.9, 0.9), "intervals_80": (0.8, 0.8), "intervals_shared_level": (0.9, 0.95)}
+#: Two-sided normal quantiles: round values for usual levels, exact ones for others.
+_Z = {0.99: 2.576, 0.95: 1.96, 0.9: 1.645, 0.8: 1.2815515655446004}
+
+
+def _intervals(confidence: float, prediction: float) -> Query:
     names = ("standard_error", "confidence_lower", "confidence_upper", "prediction_lower", "prediction_upper")
-    return _round(batch.smooth(daily(spark, d), "x", "y", ["g"], **_BOUNDS).select("g", "x", *names), *names)
+    options = _BOUNDS | {"confidence_level": confidence, "prediction_level": prediction}
+    return lambda spark, d: _round(batch.smooth(daily(spark, d), "x", "y", ["g"], **options).select("g", "x", *names), *names)
 
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +166,12 @@ def _se_ctes() -> list[str]:
     ]
 
 
-INTERVALS_SQL = oracle.query(_se_ctes(), "SELECT g, x, round(se, 4) AS standard_error, round(fit - 1.96 * se, 4) AS confidence_lower, round(fit + 1.96 * se, 4) AS confidence_upper, round(fit - 1.96 * sqrt(se * se + sd * sd), 4) AS prediction_lower, round(fit + 1.96 * sqrt(se * se + sd * sd), 4) AS prediction_upper FROM fe JOIN sd USING (g)")
+
+
+def _intervals_sql(z: float) -> str:
+    return oracle.query(_se_ctes(), f"SELECT g, x, round(se, 4) AS standard_error, round(fit - {z} * se, 4) AS confidence_lower, round(fit + {z} * se, 4) AS confidence_upper, round(fit - {z} * sqrt(se * se + sd * sd), 4) AS prediction_lower, round(fit + {z} * sqrt(se * se + sd * sd), 4) AS prediction_upper FROM fe JOIN sd USING (g)")
+
+
 DIAGNOSTICS_SQL = oracle.query(
     [
         *_se_ctes(),
@@ -188,8 +200,28 @@ def _cv(**options) -> Query:
     return lambda spark, d: _round(batch.cross_validate(daily(spark, d), "x", "y", ["g"], fractions=_FRACTIONS, iterations=1, delta=0.0, **options), "score", to=3)
 
 
-def _kfold_sql() -> str:
-    ctes = [f"d0 AS (SELECT *, least(4, (row_number() OVER (PARTITION BY g ORDER BY x) - 1) // (count(*) OVER (PARTITION BY g) // 5)) AS fold FROM ({DAILY_SQL}))", "fold AS (SELECT unnest(range(5)) AS fold)"]
+#: Fold numbers from 0, and the fold of each point of d1 (g, x, y, i, n).
+_FOLDS = {
+    "kfold": ("SELECT unnest(range(5)) AS fold", [], "least(4, i // (n // 5))", "d1"),
+    "loocv": ("SELECT DISTINCT i AS fold FROM d1", [], "i", "d1"),
+    "seeded": (
+        "SELECT unnest(range(5)) AS fold",
+        [
+            # a shuffle from the end by a 64-bit congruential generator: each step swaps places i and j
+            "sw AS (SELECT n, n - 1 AS i, 42::HUGEINT AS state, range(n) AS o FROM (SELECT DISTINCT n FROM d1) UNION ALL SELECT n, i - 1, s, list_transform(o, lambda v, k: CASE WHEN k - 1 = i THEN o[j + 1] WHEN k - 1 = j THEN o[i + 1] ELSE v END) FROM (SELECT *, ((s // 4294967296) % (i + 1))::BIGINT AS j FROM (SELECT *, (state * 6364136223846793005 + 1) % 18446744073709551616 AS s FROM sw WHERE i > 0)))",
+            "pos AS (SELECT n, unnest(o) AS i, unnest(range(len(o))) AS place FROM sw WHERE i = 0)",
+        ],
+        "least(4, place // (n // 5))",
+        "d1 JOIN pos USING (n, i)",
+    ),
+}
+
+
+def _cv_sql(kind: str) -> str:
+    """Each point is predicted on the line between the fits to the points of other folds around it."""
+    numbers, more, fold, rows = _FOLDS[kind]
+    ctes = [f"d1 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM ({DAILY_SQL}))", *more, f"d0 AS (SELECT g, x, y, {fold} AS fold FROM {rows})", f"fold AS ({numbers})"]
+    score = "sqrt(avg(r * r))" if kind == "loocv" else "avg(e)"
     parts = []
     for k, f in enumerate(_FRACTIONS):
         p = f"c{k}_"
@@ -199,13 +231,16 @@ def _kfold_sql() -> str:
             f"{p}h AS (SELECT g, arg_min(fit, x) AS first FROM {p}f GROUP BY g)",
             f"{p}y AS (SELECT d0.g, d0.fold, d0.y - CASE WHEN v.x IS NULL THEN h.first WHEN v.x2 IS NULL THEN v.fit ELSE v.fit + (d0.x - v.x) / (v.x2 - v.x) * (v.f2 - v.fit) END AS r FROM d0 JOIN {p}h h ON h.g = d0.g || '/' || d0.fold ASOF LEFT JOIN {p}g v ON v.g = d0.g || '/' || d0.fold AND d0.x >= v.x)",
         ]
-        parts.append(f"SELECT g, {f}::DOUBLE AS fraction, avg(e) AS score FROM (SELECT g, fold, sqrt(avg(r * r)) AS e FROM {p}y GROUP BY ALL) GROUP BY g")
+        parts.append(f"SELECT g, {f}::DOUBLE AS fraction, {score} AS score FROM " + (f"{p}y GROUP BY g" if kind == "loocv" else f"(SELECT g, fold, sqrt(avg(r * r)) AS e FROM {p}y GROUP BY ALL) GROUP BY g"))
     return oracle.query([*ctes, f"z AS ({' UNION ALL '.join(parts)})"], "SELECT g, fraction, round(score, 3) AS score, fraction = arg_min(fraction, score) OVER (PARTITION BY g) AS is_best FROM z")
 
 
 _CHUNK = {"chunk_size": 12, "overlap": 5, "fraction": 0.5, "iterations": 1}
 
 
+_CHUNKS_END = "SELECT g, x, round(y, 4) AS y, round(fit, 4) AS y_smooth, round(y - fit, 4) AS residual, round(rw, 4) AS robustness_weight, chunk FROM b4"
+
+
 def _chunks(merge: str) -> Query:
     return lambda spark, d: _round(chunked.smooth_chunked(daily(spark, d), "x", "y", ["g"], merge=merge, **_CHUNK), "y", "y_smooth", "residual", "robustness_weight")
 
@@ -221,58 +256,152 @@ def _chunks_sql(merge: str) -> str:
             "s AS (SELECT chunk AS g, x, y FROM b2)",
             *oracle.fit(fraction=0.5, iterations=1, delta=0.0),
             "b3 AS (SELECT b2.g, b2.x, b2.y, any_value(b2.pos) AS pos, max(CASE WHEN NOT late THEN fit END) AS pf, max(CASE WHEN late THEN fit END) AS cf, max(CASE WHEN NOT late THEN rw END) AS pr, max(CASE WHEN late THEN rw END) AS cr FROM b2 JOIN f ON f.g = b2.chunk AND f.x = b2.x GROUP BY ALL)",
-            f"b4 AS (SELECT g, x, y, {value('f')} AS fit, {value('r')} AS rw FROM (SELECT *, (pos % 12 - 7) / 5.0 AS a FROM b3))",
+            f"b4 AS (SELECT g, x, y, {value('f')} AS fit, {value('r')} AS rw, pos // 12 + (pos % 12 >= 7)::BIGINT AS chunk FROM (SELECT *, (pos % 12 - 7) / 5.0 AS a FROM b3))",
         ],
-        "SELECT g, x, round(y, 4) AS y, round(fit, 4) AS y_smooth, round(y - fit, 4) AS residual, round(rw, 4) AS robustness_weight FROM b4",
+        _CHUNKS_END,
     )
 
 
-def _online(update: str) -> Query:
+def _online(update: str, min_points: int = 3, columns: tuple[str, ...] = ("robustness_weight",)) -> Query:
     def run(spark, d):
         events = _table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-        out = chunked.smooth_online(events, "ts", "value", ["ts", "event_id"], ["user_id"], window_capacity=20, min_points=3, fraction=0.5, iterations=1, update=update)
-        return _round(out.select("event_id", "y_smooth", "robustness_weight"), "y_smooth", "robustness_weight")
+        out = chunked.smooth_online(events, "ts", "value", ["ts", "event_id"], ["user_id"], window_capacity=20, min_points=min_points, fraction=0.5, iterations=1, update=update)
+        return _round(out.select("event_id", "y_smooth", *columns), "y_smooth", *(c for c in columns if c != "window_size"))
 
     return run
 
 
-ONLINE_SQL = f"""WITH s AS (SELECT event_id, user_id AS u, epoch_us(ts) / 1e6 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+def _online_sql(min_points: int, select: str) -> str:
+    # a window of two points has its last value, or their mean where they tie
+    two = "UNION ALL SELECT a.event_id, CASE WHEN a.x <> b.x THEN a.y ELSE (a.y + b.y) / 2 END FROM n a JOIN s b ON a.u = b.u AND b.i = a.i - 1 WHERE a.m = 2" if min_points == 2 else ""
+    return f"""WITH s AS (SELECT event_id, user_id AS u, epoch_us(ts) / 1e6 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 n AS (SELECT *, least(i, 20) AS m, greatest(2, least(least(i, 20), ceil(0.5 * least(i, 20))))::BIGINT AS q FROM s),
 w AS (SELECT a.event_id, a.x - b.x AS h, a.u, a.i, a.x, a.q FROM n a JOIN s b ON a.u = b.u AND b.i = a.i - a.q + 1 WHERE a.m >= 3),
 k AS (SELECT w.event_id, w.h, b.x - w.x AS d, b.y, CASE WHEN w.h > 0 THEN {oracle.window_weight("abs(b.x - w.x)", "w.h", "tricube")} ELSE 1.0 END AS k FROM w JOIN s b ON w.u = b.u AND b.i BETWEEN w.i - w.q + 1 AND w.i),
-v AS ({oracle.wls("k", "event_id")})
-SELECT event_id, round(f, 4) AS y_smooth, CASE WHEN f IS NOT NULL THEN 1.0::DOUBLE END AS robustness_weight FROM s LEFT JOIN v USING (event_id)"""
+v AS ({oracle.wls("k", "event_id")} {two})
+SELECT event_id, round(f, 4) AS y_smooth, {select} FROM n LEFT JOIN v USING (event_id)"""
+
+
+def _online_full_sql() -> str:
+    """Each event's window is a series of its own, of which the last value counts."""
+    rows = "n0 AS (SELECT event_id, user_id AS u, epoch_us(ts) / 1e6 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+    series = "s AS (SELECT a.event_id AS g, b.x, b.y FROM n0 a JOIN n0 b ON a.u = b.u AND b.i BETWEEN a.i - 19 AND a.i WHERE a.i >= 3)"
+    return oracle.query([rows, series, *oracle.fit(fraction=0.5, iterations=1, delta=0.0)], "SELECT event_id, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight FROM n0 LEFT JOIN f ON n0.event_id = f.g AND f.i = f.n - 1")
+
+
+def _chunk_measures(running: bool) -> Query:
+    def run(spark, d):
+        smoothed = chunked.smooth_chunked(daily(spark, d), "x", "y", ["g"], merge="average", **_CHUNK)
+        return _round(chunked.chunk_diagnostics(smoothed, "y", ["g"], running=running), "rmse", "mae", "r_squared", "residual_sd")
+
+    return run
+
 
+def chunk_measures_sql(running: bool = False) -> str:
+    rows = _chunks_sql("average").removesuffix(_CHUNKS_END)
+    source, keys = ("(SELECT b.g, c.chunk, b.y, b.fit FROM b4 b JOIN (SELECT DISTINCT g, chunk FROM b4) c ON b.g = c.g AND b.chunk <= c.chunk)", "g, chunk") if running else ("b4", "g")
+    return rows + f"SELECT {keys}, count(*) AS n, round(sqrt(avg(pow(y - fit, 2))), 4) AS rmse, round(avg(abs(y - fit)), 4) AS mae, round(1 - sum(pow(y - fit, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 4) AS r_squared, round(stddev_samp(y - fit), 4) AS residual_sd FROM {source} GROUP BY {keys}"
 
-def chunk_measures(spark: SparkSession, d: str) -> DataFrame:
-    out = chunked.chunk_diagnostics(chunked.smooth_chunked(daily(spark, d), "x", "y", ["g"], merge="average", **_CHUNK), "y", ["g"])
-    return _round(out, "rmse", "mae", "r_squared", "residual_sd")
+
+#: Weights that vary, and weights of which a whole window is 0.
+_WEIGHTS = {"varied": "0.25 + (x::BIGINT % 7) / 4.0", "gap": "CASE WHEN x::BIGINT % 30 BETWEEN 8 AND 20 THEN 0.0 ELSE 1.0 + (x::BIGINT % 3) / 2.0 END"}
+_WEIGHTED = {
+    "case_weights": ("varied", {"fraction": 0.5, "iterations": 1, "delta": 0.0}),
+    "case_weights_robust": ("varied", {"fraction": 0.4, "iterations": 3, "boundary": "reflect"}),
+    **{f"fallback_{f}": ("gap", {"fraction": 0.2, "iterations": 1, "delta": 0.0, "boundary": "noboundary", "fallback": f}) for f in ("use_local_mean", "return_original", "return_none")},
+}
+
+
+def _weighted(weights: str, options: dict) -> Query:
+    def run(spark, d):
+        rows = daily(spark, d).withColumn("w", F.expr(_WEIGHTS[weights].replace("x::BIGINT", "cast(x AS BIGINT)")).cast("double"))
+        return _round(batch.smooth(rows, "x", "y", ["g"], "w", **options).select("g", "x", "y_smooth", "robustness_weight"), "y_smooth", "robustness_weight")
+
+    return run
+
+
+def _weighted_sql(weights: str, options: dict) -> str:
+    return oracle.query([f"s AS (SELECT *, ({_WEIGHTS[weights]})::DOUBLE AS w FROM ({DAILY_SQL}))", *oracle.fit(weighted=True, **options)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight FROM f")
+
+
+_CONVERGE = {"fraction": 0.5, "iterations": 6, "delta": 0.0}
+
+
+def converged(spark: SparkSession, d: str) -> DataFrame:
+    """Where the passes of each series stop, and the values there."""
+    series, options = daily(spark, d), _CONVERGE | {"auto_converge": 0.5}
+    fits = batch.smooth(series, "x", "y", ["g"], **options).select("g", "x", "y_smooth", "robustness_weight")
+    used = batch.summarize(series, "x", "y", ["g"], **options).select("g", F.col("iterations_used").cast("long").alias("iterations_used"))
+    return _round(fits.join(used, "g"), "y_smooth", "robustness_weight")
+
+
+CONVERGED_SQL = oracle.query([f"s AS ({DAILY_SQL})", *oracle.fit(converge=0.5, **_CONVERGE)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight, t::BIGINT AS iterations_used FROM f")
+
+
+def kernel_constants(spark: SparkSession, d: str) -> DataFrame:
+    """The constants of each kernel and its efficiency; the SQL integrates numerically."""
+    rows = [(k, *map(float, exprs.KERNELS[k]), float(exprs.efficiency(k))) for k in exprs.KERNELS]
+    return _round(spark.createDataFrame(rows, "kernel string, integral double, variance double, roughness double, efficiency double"), "integral", "variance", "roughness", "efficiency")
+
+
+def _kernel_constants_sql() -> str:
+    parts = []
+    for k in exprs.KERNELS:
+        width = 9 if k == "gaussian" else 1
+        value = oracle.KERNEL[k].format(u="u")
+        parts.append(f"SELECT '{k}' AS kernel, 2 * avg(k) * {width} AS c, 2 * avg(u * u * k) * {width} AS m, 2 * avg(k * k) * {width} AS r FROM (SELECT u, {value} AS k FROM (SELECT (range + 0.5) / 20000 * {width} AS u FROM range(20000)))")
+    return f"WITH k AS ({' UNION ALL '.join(parts)}), e AS (SELECT * FROM k WHERE kernel = 'epanechnikov') SELECT k.kernel, round(k.c, 4) AS integral, round(k.m, 4) AS variance, round(k.r, 4) AS roughness, round(pow(e.r / k.r, 0.8) * pow(e.m / k.m, 0.4) * pow(k.c / e.c, 2), 4) AS efficiency FROM k, e"
+
+
+#: Options and values of them, of which the rules of the SQL say what is accepted.
+_RANGES = {
+    "fraction": ([-0.1, 0.0, 1e-9, 0.5, 1.0, 1.5], "v > 0 AND v <= 1"),
+    "iterations": ([-1, 0, 3, 1000, 1001], "v BETWEEN 0 AND 1000"),
+    "delta": ([-1.0, 0.0, 2.5], "v >= 0"),
+    "auto_converge": ([-1.0, 0.0, 1e-9, 2.0], "v > 0"),
+    "confidence_level": ([0.0, 0.5, 1.0, 1.5], "v > 0 AND v < 1"),
+    "prediction_level": ([-0.5, 0.0, 0.999, 1.0], "v > 0 AND v < 1"),
+    "cv_k": ([0, 1, 2, 10], "v >= 2"),
+    "chunk_size": ([9, 501, 5000], "v >= 10 AND v > 500"),
+    "overlap": ([-1, 0, 4999, 5000], "v BETWEEN 0 AND 4999"),
+    "window_capacity": ([2, 3, 50], "v >= 3"),
+    "min_points": ([1, 2, 1000, 1001], "v BETWEEN 2 AND 1000"),
+    "cv_fractions": ([-0.5, 0.0, 0.3, 1.0, 2.0], "v > 0 AND v <= 1"),
+}
 
 
-def chunk_measures_sql() -> str:
-    rows = _chunks_sql("average").replace("SELECT g, x, round(y, 4) AS y, round(fit, 4) AS y_smooth, round(y - fit, 4) AS residual, round(rw, 4) AS robustness_weight FROM b4", "")
-    return rows + "SELECT g, count(*) AS n, round(sqrt(avg(pow(y - fit, 2))), 4) AS rmse, round(avg(abs(y - fit)), 4) AS mae, round(1 - sum(pow(y - fit, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 4) AS r_squared, round(stddev_samp(y - fit), 4) AS residual_sd FROM b4 GROUP BY g"
+def option_ranges(spark: SparkSession, d: str) -> DataFrame:
+    def accepted(name, value) -> bool:
+        try:
+            Options.of(**{name: (value,) if name == "cv_fractions" else value})
+        except InvalidOption:
+            return False
+        return True
 
+    return spark.createDataFrame([(k, float(v), accepted(k, v)) for k, (values, _) in _RANGES.items() for v in values], "option string, value double, accepted boolean")
 
-def case_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights of ones change nothing."""
-    return _round(batch.smooth(daily(spark, d).withColumn("w", F.lit(1.0)), "x", "y", ["g"], "w", fraction=0.5, iterations=1, delta=0.0).select("g", "x", "y_smooth"), "y_smooth")
 
+OPTION_RANGES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS option, v AS value, ({rule}) AS accepted FROM (SELECT unnest([{', '.join(map(repr, map(float, values)))}]::DOUBLE[]) AS v)" for k, (values, rule) in _RANGES.items())
 
 def queries() -> dict[str, Query]:
     return {
         "smooth_events": smooth_events,
         "smooth_large": smooth_large_events,
         "ols_line": ols_orders,
-        "intervals": intervals,
+        **{name: _intervals(*levels) for name, levels in _LEVELS.items()},
         "diagnostics": diagnostics,
         "delta_anchors": delta_anchors,
-        "case_weights": case_weights,
+        **{name: _weighted(*how) for name, how in _WEIGHTED.items()},
+        "auto_converge": converged,
+        "kernel_constants": kernel_constants,
+        "option_ranges": option_ranges,
         "cv_kfold": _cv(cv="kfold"),
         "cv_kfold_seeded": _cv(cv="kfold", cv_seed=42),
         "cv_loocv": _cv(cv="loocv"),
-        "chunk_diagnostics": chunk_measures,
+        "chunk_diagnostics": _chunk_measures(False),
+        "chunk_diagnostics_running": _chunk_measures(True),
         "online_incremental": _online("incremental"),
+        "online_two_points": _online("incremental", 2, ("residual", "window_size")),
         "online_full": _online("full"),
         **{f"chunk_{m}": _chunks(m) for m in ("average", "weighted_average", "take_first", "take_last")},
         **{name: _daily_fit(**_options(o)) for name, o in _FITS.items()},
@@ -283,18 +412,25 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Without: seeded folds, leave-one-out and full online smoothing, which tests hold against the kernel."""
     return {
         "smooth_events": oracle.query([f"s AS ({EVENTS_SQL})", *oracle.fit()], _events_back("event_type, round(fit, 3) AS y_smooth, round(e.value - fit, 3) AS residual").format(key="event_type", on="e.event_type = f.g AND")),
         "smooth_large": oracle.query([f"s AS (SELECT 0 AS g, x, y FROM ({EVENTS_SQL}))", *oracle.fit(fraction=0.3, iterations=1)], _events_back("round(fit, 3) AS y_smooth").format(key="1", on="")),
         "ols_line": OLS_SQL,
-        "intervals": INTERVALS_SQL,
+        **{name: _intervals_sql(_Z[levels[1]]) for name, levels in _LEVELS.items()},
         "diagnostics": DIAGNOSTICS_SQL,
         "delta_anchors": ANCHORS_SQL,
-        "case_weights": oracle.query([f"s AS ({DAILY_SQL})", *oracle.fit(fraction=0.5, iterations=1, delta=0.0)], "SELECT g, x, round(fit, 4) AS y_smooth FROM f"),
-        "cv_kfold": _kfold_sql(),
+        **{name: _weighted_sql(*how) for name, how in _WEIGHTED.items()},
+        "auto_converge": CONVERGED_SQL,
+        "kernel_constants": _kernel_constants_sql(),
+        "option_ranges": OPTION_RANGES_SQL,
+        "cv_kfold": _cv_sql("kfold"),
+        "cv_kfold_seeded": _cv_sql("seeded"),
+        "cv_loocv": _cv_sql("loocv"),
         "chunk_diagnostics": chunk_measures_sql(),
-        "online_incremental": ONLINE_SQL,
+        "chunk_diagnostics_running": chunk_measures_sql(running=True),
+        "online_incremental": _online_sql(3, "CASE WHEN f IS NOT NULL THEN 1.0::DOUBLE END AS robustness_weight"),
+        "online_two_points": _online_sql(2, "round(y - f, 4) AS residual, m AS window_size"),
+        "online_full": _online_full_sql(),
         **{f"chunk_{m}": _chunks_sql(m) for m in ("average", "weighted_average", "take_first", "take_last")},
         **{name: _daily_fit_sql(**o) for name, o in _FITS.items()},
         **_kernels()[1],
