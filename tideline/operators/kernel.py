@@ -195,7 +195,11 @@ def scale_of(r: np.ndarray, scale: str) -> float:
 
 
 def robustness_weights(r: np.ndarray, robustness: str, scale: str) -> np.ndarray:
-    s = scale_of(r, scale)
+    return weights_of(r, scale_of(r, scale), robustness)
+
+
+def weights_of(r: np.ndarray, s: float, robustness: str) -> np.ndarray:
+    """Weights of residuals under the scale s."""
     size = np.abs(r)
     if s <= 0:
         return np.ones(len(r))

@@ -2,55 +2,96 @@
 
 With a delta the smoother fits a few hundred anchors and interpolates the rest, so a pass is fully told
 by its knots, which fit in the driver (``MAX_ANCHORS`` at most, checked). Points never leave the
-executors: each pass aggregates five weighted sums an anchor over the ranks of its window, and residuals
-and robustness weights are expressions of the last pass's knots. Medians are found by counting in bins.
+executors: in a pass each batch of points adds five weighted sums to the anchors whose windows reach it,
+which are added up by anchor, and residuals and robustness weights follow from the last pass's knots. A
+pass is one job, and its shuffle is a row for each anchor and task. Medians are found by counting in bins.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.functions import exprs
 from tideline.operators import kernel
 from tideline.operators.batch import prepared
 from tideline.options import InvalidData, Options, UnsupportedFeature
 from tideline.plans.ranks import global_rank
 from tideline.plans.shared import Scratch
 
-MAX_ANCHORS, BINS, COLLECT, WALK = 4096, 1024, 10_000, 1 << 22
+MAX_ANCHORS, BINS, COLLECT, WALK = 4096, 4096, 10_000, 1 << 22
 
+Values = Callable[[pa.RecordBatch], np.ndarray]
+
+
+def _counts(values: Values, edges: tuple[float, float] | None, bins: int, exact: bool):
+    """A row for each bin (or value) of a task: its place, how many, the least, the largest and the sum of
+    their sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = values(batch)
+            v = v[~np.isnan(v)]
+            if edges is not None:
+                v = v[(v >= edges[0]) & (v <= edges[1])]
+            if not len(v):
+                continue
+            v = np.sort(v)
+            if exact:
+                at, first = v, np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            else:
+                at = np.zeros(len(v)) if edges is None else np.minimum(np.floor((v - edges[0]) / ((edges[1] - edges[0]) / bins)), bins - 1)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            ends = np.append(first[1:], len(v))
+            yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(ends - first), pa.array(v[first]), pa.array(v[ends - 1]), pa.array(np.add.reduceat(np.abs(v), first))], ["b", "c", "lo", "hi", "size"])
+
+    return run
 
-def exact_median(df: DataFrame, value: Column) -> float:
-    """By counting in bins, and bins of the bin that holds the middle, until few values are left."""
-    v = df.select(value.alias("v"))
-    n, lo, hi = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    return 0.5 * (_ranked_value(v, (n - 1) // 2, lo, hi, n) + _ranked_value(v, n // 2, lo, hi, n))
 
+def _tally(points: DataFrame, values: Values, edges=None, exact: bool = False) -> list:
+    rows = points.mapInArrow(_counts(values, edges, BINS, exact), "b double, c long, lo double, hi double, size double")
+    rows = rows.groupBy("b").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size"))
+    return sorted(rows.collect(), key=lambda r: r.b)
 
-def _ranked_value(v: DataFrame, rank: int, lo: float, hi: float, n: int) -> float:
-    while n > COLLECT and hi > lo:
-        part = v.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        width = (hi - lo) / BINS
-        if width <= 0 or lo + width == lo:
+
+def median_of(points: DataFrame, values: Values) -> tuple[float, float]:
+    """The exact median of the values, and the mean of their sizes. Values are counted in bins, and in bins
+    of the bins that hold the two middle ones, until ``COLLECT`` are left at most or no bin is narrower;
+    these are counted by value."""
+    (whole,) = _tally(points, values)
+    n, lo, hi = whole.c, whole.lo, whole.hi
+    left, ranks = n, [(n - 1) // 2, n // 2]
+    while left > COLLECT and hi > lo and lo + (hi - lo) / BINS > lo:
+        bins, passed = [], 0
+        for r in _tally(points, values, (lo, hi)):
+            if any(passed <= k < passed + r.c for k in ranks):
+                bins.append((passed, r))
+            passed += r.c
+        if len(bins) == 2:  # the middle ones are the last and the first of two bins
+            return 0.5 * (bins[0][1].hi + bins[1][1].lo), whole.size / n
+        before, found = bins[0]
+        if found.c == left:
             break
-        bin_ = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1))
-        rows = sorted(part.groupBy(bin_.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r.b)
-        for r in rows:
-            if rank < r.c:
-                lo, hi, n = r.lo, r.hi, r.c
-                break
-            rank -= r.c
-    if lo == hi:
-        return lo
-    return sorted(r.v for r in v.where((F.col("v") >= lo) & (F.col("v") <= hi)).collect())[rank]
-
-
-def _anchors(points: DataFrame, x0: float, n: int, delta: float) -> list[tuple[int, int, float]]:
-    """(rank, last rank of its ties, x). Up to ``WALK`` points their x go to the driver, 16 bytes each.
+        lo, hi, left, ranks = found.lo, found.hi, found.c, [k - before for k in ranks]
+    found, passed = [], 0
+    for r in _tally(points, values, (lo, hi), exact=True):
+        found += [r.b for k in ranks if passed <= k < passed + r.c]
+        passed += r.c
+    return 0.5 * (found[0] + found[1]), whole.size / n
+
+
+def exact_median(df: DataFrame, value: Column) -> float:
+    """Of a column, of whatever size."""
+    return median_of(df.select(value.cast("double").alias("v")), lambda batch: batch.column(0).to_numpy(zero_copy_only=False).astype(float))[0]
+
+
+def _anchors(points: DataFrame, n: int, delta: float) -> tuple[list[tuple[int, int, float]], np.ndarray | None]:
+    """(rank, last rank of its ties, x) of each, and all x where they are held. Up to ``WALK`` points their x go to the driver, 16 bytes each.
     Beyond, each step reads the rows between two anchors only: the table is in the order of x, so the
     others are skipped by their file statistics."""
     if n <= WALK:
@@ -59,15 +100,15 @@ def _anchors(points: DataFrame, x0: float, n: int, delta: float) -> list[tuple[i
         if len(at) > MAX_ANCHORS:
             raise UnsupportedFeature(f"more than {MAX_ANCHORS} anchors: delta is too small for a series of this size")
         ties = dict(copies.tolist())
-        return [(a, ties.get(a, a), float(xs[a])) for a in at.tolist()]
-    out, last, x = [], 0, x0
+        return [(a, ties.get(a, a), float(xs[a])) for a in at.tolist()], xs
+    out, last, x = [], 0, points.where("rank = 0").first().x
     while True:
         ties = points.where(F.col("x") == x).agg(F.max("rank")).first()[0]
         out.append((last, ties, x))
         if len(out) > MAX_ANCHORS:
             raise UnsupportedFeature(f"more than {MAX_ANCHORS} anchors: delta is too small for a series of this size")
         if ties >= n - 1:
-            return out
+            return out, None
         ahead = points.where((F.col("x") > x) & (F.col("x") <= x + delta)).agg(F.max(F.struct("x", "rank")).alias("m")).first().m
         if ahead is None:
             ahead = points.where(F.col("rank") == ties + 1).select("x", "rank").first()
@@ -78,20 +119,40 @@ def _at(points: DataFrame, ranks: list[int]) -> dict[int, tuple[float, float]]:
     return {r.rank: (r.x, r.y) for r in points.where(F.col("rank").isin(sorted(set(ranks)))).select("rank", "x", "y").collect()}
 
 
-def _segment(ranks: list[int]) -> Column:
-    """The place, from 1, of the last knot at or before a point's rank, but for the last knot."""
-    before = F.aggregate(F.array(*(F.lit(r) for r in ranks)), F.lit(0), lambda n, r: n + F.when(r <= F.col("rank"), 1).otherwise(0))
-    return F.greatest(F.lit(1), F.least(before, F.lit(len(ranks) - 1)))
+@dataclass(frozen=True)
+class Knots:
+    """What a pass comes to: ranks, x and fits of the anchors and of the ends of their ties."""
+
+    rank: np.ndarray
+    x: np.ndarray
+    fit: np.ndarray
+
+    def at(self, rank: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The fits at points, on lines between the knots around their ranks."""
+        if len(self.rank) == 1:
+            return np.full(len(x), self.fit[0])
+        right = np.clip(np.searchsorted(self.rank, rank, "right"), 1, len(self.rank) - 1)
+        left = right - 1
+        x0, x1, y0, y1 = self.x[left], self.x[right], self.fit[left], self.fit[right]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where(x1 > x0, y0 + (x - x0) / (x1 - x0) * (y1 - y0), 0.5 * (y0 + y1))
+        return np.where(rank == self.rank[left], y0, np.where(rank >= self.rank[right], y1, out))
+
+
+@dataclass(frozen=True)
+class Weighting:
+    """Robustness weights from the residuals against a pass."""
+
+    knots: Knots | None
+    scale: float
+    kind: str
+
+    def at(self, rank: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.ones(len(y)) if self.knots is None else kernel.weights_of(y - self.knots.at(rank, x), self.scale, self.kind)
 
 
-def _interpolated(knots: list[tuple[int, float, float]]) -> Column:
-    """The fit at a point, by the knots (rank, x, fit) around its rank; its segment is known."""
-    ranks, xs, ys = (F.array(*(F.lit(v) for v in c)) for c in zip(*knots, strict=True))
-    k = F.col("segment")
-    if len(knots) == 1:
-        return F.lit(knots[0][2])
-    at = lambda a, i: F.element_at(a, i)
-    return F.when(F.col("rank") == at(ranks, k), at(ys, k)).when(F.col("rank") >= at(ranks, k + 1), at(ys, k + 1)).otherwise(exprs.interpolate(F.col("x"), at(xs, k), at(ys, k), at(xs, k + 1), at(ys, k + 1)))
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in range(batch.num_columns))
 
 
 def smooth_large(df: DataFrame, x: str, y: str, weight: str | None = None, *, dropna: bool = False, **options) -> DataFrame:
@@ -105,14 +166,14 @@ def smooth_large(df: DataFrame, x: str, y: str, weight: str | None = None, *, dr
     base = prepared(df, x, y, (), weight, dropna, fields)
     own = [c for c in base.columns if not c.startswith("__")]
     whole = global_rank(base, ["__x", "__y"], scratch, "__rank")
-    whole = scratch.keep(whole, "rows")
     w = F.col("__w") if weight else F.lit(1.0)
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    n, wrong, x0, x1 = whole.agg(F.count("*"), F.sum((bad("__x") | bad("__y")).cast("int")), F.min("__x"), F.max("__x")).first()
+    light = F.sum((bad("__w") | (F.col("__w") < 0)).cast("int")) if weight else F.lit(0)
+    n, wrong, unfit, x0, x1 = whole.agg(F.count("*"), F.sum((bad("__x") | bad("__y")).cast("int")), light, F.min("__x"), F.max("__x")).first()
     if n == 0:
         return whole.select(*own, *(F.lit(None).cast("double").alias(f) for f in fields))
-    if n < 2 or wrong:
-        raise InvalidData("two points at least are needed" if n < 2 else f"{wrong} rows have a null or non-finite x or y")
+    if n < 2 or wrong or unfit:
+        raise InvalidData("two points at least are needed" if n < 2 else f"{wrong} rows have a null or non-finite x or y" if wrong else f"{unfit} rows have a weight that isn't finite or is negative")
     if o.fraction >= 1:
         from tideline.operators.batch import _line
 
@@ -124,43 +185,56 @@ def smooth_large(df: DataFrame, x: str, y: str, weight: str | None = None, *, dr
     if k:
         points = points.union(_padding(df, whole, o, n, k))
     total = n + 2 * k
-    points = scratch.keep(points.repartitionByRange("rank").sortWithinPartitions("rank"), "points")
-    first = points.where("rank = 0").first().x
-    marks = _anchors(points, first, total, delta)
+    points = scratch.keep(points, "points")
+    marks, xs = _anchors(points, total, delta)
     q = min(q, total)
-    # window starts: ranks l with x[l] + x[l + q] below twice the anchor's x are passed over
-    ends = points.select("rank", "x").join(points.select((F.col("rank") - q).alias("rank"), F.col("x").alias("x2")), "rank").select((F.col("x") + F.col("x2")).alias("s"))
-    twice = sorted({2 * m[2] for m in marks})
-    below = F.aggregate(F.array(*(F.lit(t) for t in twice)), F.lit(0), lambda c, t: c + F.when(t <= F.col("s"), 1).otherwise(0))
-    counts = {r.p: r.c for r in ends.groupBy(below.alias("p")).agg(F.count("*").alias("c")).collect()}
-    passed = np.cumsum([counts.get(p, 0) for p in range(len(twice) + 1)])
-    left = [min(int(passed[twice.index(2 * m[2])]), total - q) for m in marks]
-    edge = _at(points, [*left, *(a + q - 1 for a in left), *(m[0] for m in marks)])
-    spec = [(i, m[2], left[i], left[i] + q - 1, max(m[2] - edge[left[i]][0], edge[left[i] + q - 1][0] - m[2])) for i, m in enumerate(marks)]
-    ranks = [r for m in marks for r in dict.fromkeys((m[0], m[1]))]  # of the knots, which are the same in all passes
-    points = scratch.keep(points.withColumn("segment", _segment(ranks)), "segments")
-    anchors = F.broadcast(df.sparkSession.createDataFrame(spec, "a int, ax double, lo long, hi long, h double"))  # MAX_ANCHORS rows at most
-    knots: list[tuple[int, float, float]] | None = None
-    weight_of: Column = F.lit(1.0)
+    at, ends_of_ties, ax = (np.array(c) for c in zip(*marks, strict=True))
+    if xs is not None:
+        left = kernel.window_starts(xs, at, q)
+        edge = {r: (xs[r],) for r in [*left.tolist(), *(left + q - 1).tolist()]}
+    else:
+        left = _window_starts(points, 2 * ax, q, total)
+        edge = _at(points, [*left.tolist(), *(left + q - 1).tolist()])
+    h = np.array([max(x - edge[lo][0], edge[lo + q - 1][0] - x) for x, lo in zip(ax.tolist(), left.tolist(), strict=True)])
+    place = np.array([r for a, b in zip(at.tolist(), ends_of_ties.tolist(), strict=True) for r in dict.fromkeys((a, b))])
+    of = np.searchsorted(at, place, "right") - 1
+    instead = None if o.fallback == "use_local_mean" else _at(points, at.tolist())
+    knots, weighting = None, Weighting(None, 0.0, o.robustness)
     for t in range(o.iterations + 1):
-        fits = _pass(points.withColumn("rw", weight_of), anchors, marks, edge, o)
-        new = [(r, m[2], f) for m, f in zip(marks, fits, strict=True) for r in dict.fromkeys((m[0], m[1]))]
+        fits = _pass(points, weighting, at, ax, left, left + q - 1, h, instead, o)
+        new = Knots(place, ax[of], fits[of])
         if knots is not None and o.auto_converge is not None and _largest_change(points, knots, new) <= o.auto_converge:
             knots = new
             break
         knots = new
         if t < o.iterations:
-            r = F.col("y") - _interpolated(knots)
-            weight_of = exprs.robustness_weight(r, F.lit(_scale(points, r, o.scale)), o.robustness)
-    out = whole.withColumn("rank", F.col("__rank") + k).withColumn("x", F.col("__x")).withColumn("y", F.col("__y"))
-    # names of the input stay clear of those used here
-    kept = [F.col(f"`{c}`") for c in own] if not {"rank", "x", "y", "segment"} & set(own) else None
-    if kept is None:
-        out = whole.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"), (F.col("__rank") + k).alias("rank"), F.col("__x").alias("x"), F.col("__y").alias("y"))
-        kept = [F.col(f"__row.`{c}`").alias(c) for c in own]
-    fit = _interpolated(knots)
-    out = out.withColumn("segment", _segment(ranks))
-    return out.select(*kept, fit.alias("y_smooth"), (F.col("y") - fit).alias("residual"), weight_of.alias("robustness_weight"))
+            weighting = Weighting(knots, _scale(points, knots, o.scale), o.robustness)
+    scratch.drop("points")
+    ranked = whole.select(*(F.col(f"`{c}`") for c in own), (F.col("__rank") + k).alias("__rank"), "__x", "__y")
+    schema = T.StructType([*(base.schema[c] for c in own), *(T.StructField(f, T.DoubleType()) for f in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, x, y = (batch.column(len(own) + j).to_numpy(zero_copy_only=False) for j in range(3))
+            fit = knots.at(rank, x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(fit), pa.array(y - fit), pa.array(weighting.at(rank, x, y))], [*own, *fields])
+
+    return ranked.mapInArrow(run, schema)
+
+
+def _window_starts(points: DataFrame, twice: np.ndarray, q: int, total: int) -> np.ndarray:
+    """Ranks l with x[l] + x[l + q] below twice the anchor's x are passed over."""
+    sums = points.select("rank", "x").join(points.select((F.col("rank") - q).alias("rank"), F.col("x").alias("x2")), "rank").select((F.col("x") + F.col("x2")).alias("s"))
+    edges = np.unique(twice)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, c = np.unique(np.searchsorted(edges, batch.column(0).to_numpy(), "right"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c)], ["p", "c"])
+
+    counts = {r.p: r.c for r in sums.mapInArrow(run, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()}
+    passed = np.cumsum([counts.get(p, 0) for p in range(len(edges) + 1)])
+    return np.minimum(passed[np.searchsorted(edges, twice)], total - q)
 
 
 def _padding(df: DataFrame, whole: DataFrame, o: Options, n: int, k: int) -> DataFrame:
@@ -180,29 +254,64 @@ def _padding(df: DataFrame, whole: DataFrame, o: Options, n: int, k: int) -> Dat
     return lower.union(upper)
 
 
-def _pass(points: DataFrame, anchors: DataFrame, marks, edge, o: Options) -> list[float]:
+def _pass(points: DataFrame, weighting: Weighting, at, ax, lo, hi, h, instead, o: Options) -> np.ndarray:
     """The fits at all anchors."""
-    near = points.join(anchors, (F.col("rank") >= F.col("lo")) & (F.col("rank") <= F.col("hi")))
-    dx = F.col("x") - F.col("ax")
-    k = F.when(F.col("h") > 0, exprs.window_weight(F.abs(dx), F.col("h"), o.kernel)).otherwise(1.0) * F.col("rw") * F.col("w")
-    near = near.select("a", "h", "y", dx.alias("d"), k.alias("k"))
-    sums = near.groupBy("a", "h").agg(F.sum("k").alias("sw"), F.sum(F.col("k") * F.col("d")).alias("sx"), F.sum(F.col("k") * F.col("y")).alias("sy"), F.sum(F.col("k") * F.col("d") * F.col("d")).alias("sxx"), F.sum(F.col("k") * F.col("d") * F.col("y")).alias("sxy"), F.avg("y").alias("mean"))
-    value = exprs.wls_value(*(F.col(c) for c in ("sw", "sx", "sy", "sxx", "sxy", "h")))
-    got = {r.a: r for r in sums.select("a", "sw", "mean", F.when(F.col("sw") > 0, value).alias("v")).collect()}
-    none = lambda i: got[i].mean if o.fallback == "use_local_mean" else math.nan if o.strict_none and o.fallback == "return_none" else edge[marks[i][0]][1]
-    return [got[i].v if got[i].sw > 0 else none(i) for i in range(len(marks))]
-
-
-def _scale(points: DataFrame, r: Column, scale: str) -> float:
-    mean = points.agg(F.avg(F.abs(r))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(at), 7))
+        for batch in batches:
+            rank, x, y, w = _columns(batch)
+            w = w * weighting.at(rank, x, y)
+            if (rank[1:] < rank[:-1]).any():
+                order = np.argsort(rank)
+                rank, x, y, w = rank[order], x[order], y[order], w[order]
+            first, last = np.searchsorted(rank, lo, "left"), np.searchsorted(rank, hi, "right")
+            for a in np.flatnonzero(last > first).tolist():
+                rows = slice(int(first[a]), int(last[a]))
+                d, yy = x[rows] - ax[a], y[rows]
+                k = w[rows] * kernel.window_weight(np.abs(d), h[a], o.kernel) if h[a] > 0 else w[rows]
+                kd = k * d
+                sums[a] += (k.sum(), kd.sum(), k @ yy, kd @ d, kd @ yy, yy.sum(), len(d))
+        there = np.flatnonzero(sums[:, 6])
+        yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(c) for c in sums[there].T)], ["a", *_SUMS])
+
+    got = points.select("rank", "x", "y", "w").mapInArrow(run, "a long, " + ", ".join(f"{c} double" for c in _SUMS))
+    rows = np.array(sorted(map(tuple, got.groupBy("a").agg(*(F.sum(c) for c in _SUMS)).collect())))
+    sw, sx, sy, sxx, sxy, total, n = rows[:, 1:].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ym, var = sy / sw, sxx - sx * sx / sw
+        flat = (h <= 0) | (var <= np.maximum(1e-7, np.finfo(float).eps * h * h))
+        fit = np.where(flat, ym, ym - (sxy - sx * ym) / var * (sx / sw))
+    if o.fallback == "use_local_mean":
+        other = total / n
+    else:
+        other = np.array([np.nan if o.strict_none and o.fallback == "return_none" else instead[r][1] for r in at.tolist()])
+    return np.where(sw > 0, fit, other)
+
+
+_SUMS = ("sw", "sx", "sy", "sxx", "sxy", "total", "n")
+
+
+def _scale(points: DataFrame, knots: Knots, scale: str) -> float:
+    def residuals(batch):
+        rank, x, y, _ = _columns(batch)
+        return y - knots.at(rank, x)
+
+    rows = points.select("rank", "x", "y", "w")
     if scale == "mean":
-        s = mean
+        (whole,) = _tally(rows, residuals)
+        s = mean = whole.size / whole.c
     elif scale == "mar":
-        s = exact_median(points, F.abs(r))
+        s, mean = median_of(rows, lambda batch: np.abs(residuals(batch)))
     else:
-        s = exact_median(points, F.abs(r - exact_median(points, r)))
+        middle, mean = median_of(rows, residuals)
+        s, _ = median_of(rows, lambda batch: np.abs(residuals(batch) - middle))
     return max(mean, s) if s <= max(1e-7 * mean, 1e-12) else s
 
 
-def _largest_change(points: DataFrame, old, new) -> float:
-    return points.agg(F.max(F.abs(_interpolated(new) - _interpolated(old)))).first()[0]
+def _largest_change(points: DataFrame, old: Knots, new: Knots) -> float:
+    def changes(batch):
+        rank, x, *_ = _columns(batch)
+        return np.abs(new.at(rank, x) - old.at(rank, x))
+
+    return _tally(points.select("rank", "x", "y", "w"), changes)[0].hi
