@@ -7,11 +7,10 @@ once: overlap rows are given to both their chunks, and only they meet again to b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,22 +115,25 @@ def _running_measures(smoothed: DataFrame, r: Column, v: Column, by: Sequence[st
 
 
 def online_values(x: np.ndarray, y: np.ndarray, o: Options, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed values and robustness weights of the rows from ``first``; NaN until min_points have come.
-
-    Incremental values of rows whose x is the largest of their window come from arrays of windows; only
-    rows where x falls, and full updates, are worked out one by one."""
-    n = len(x)
-    fit, rw = np.full(n, np.nan), np.full(n, np.nan)
-    rows = np.arange(first, n)
-    size = np.minimum(rows + 1, o.window_capacity)
-    rows, size = rows[size >= o.min_points], size[size >= o.min_points]
+    """Smoothed values and robustness weights of the rows from ``first``; NaN until min_points have come."""
+    rows = np.arange(first, len(x))
+    return online_at(x, y, rows, np.minimum(rows + 1, o.window_capacity), o)
+
+
+def online_at(x: np.ndarray, y: np.ndarray, rows: np.ndarray, sizes: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """The values at the ends of windows: of ``sizes`` points up to ``rows``.
+
+    Incremental values of windows in which x doesn't fall come from arrays of windows; only the others, and full updates, are worked out one by one."""
+    asked, (fit, rw) = rows, (np.full(len(x), np.nan) for _ in range(2))
+    rows, size = rows[sizes >= o.min_points], sizes[sizes >= o.min_points]
     rw[rows] = 1.0
     if len(two := rows[size == 2]):
         fit[two] = np.where(x[two] != x[two - 1], y[two], 0.5 * (y[two] + y[two - 1]))
     rows, size = rows[size > 2], size[size > 2]
     if o.update == "incremental" and len(rows):
-        ends = sliding_window_view(np.concatenate([np.full(o.window_capacity - 1, -np.inf), x]), o.window_capacity)
-        top = np.concatenate([x[part] >= ends[part].max(axis=1) for part in np.array_split(rows, 1 + len(rows) * o.window_capacity // kernel.BLOCK)])
+        # x doesn't fall within the window: none of its steps but the first goes down
+        falls = np.concatenate([[0], np.cumsum(x[1:] < x[:-1])])
+        top = falls[rows] == falls[rows - size + 1]
         fit[rows[top]] = kernel.fit_last_of_windows(x, y, rows[top], size[top], o)
         rows, size = rows[~top], size[~top]
     for k, m in zip(rows.tolist(), size.tolist(), strict=True):
@@ -141,7 +143,7 @@ def online_values(x: np.ndarray, y: np.ndarray, o: Options, first: int = 0) -> t
         else:
             f = kernel.fit_series(wx, wy, None, o)
             fit[k], rw[k] = f.y_smooth[-1], f.robustness_weight[-1]
-    return fit[first:], rw[first:]
+    return fit[asked], rw[asked]
 
 
 def smooth_online(df: DataFrame, x: str, y: str, seq: Sequence[str], by: Sequence[str] = (), *, block: int | None = None, **options) -> DataFrame:
@@ -164,16 +166,25 @@ def smooth_online(df: DataFrame, x: str, y: str, seq: Sequence[str], by: Sequenc
     rows = ranked.withColumn("__chunk", F.explode(reached))
     schema = T.StructType([*(base.schema[c] for c in own), *(T.StructField(n, T.DoubleType()) for n in _ONLINE_FIELDS[:3]), T.StructField("window_size", T.LongType())])
 
-    def run(group):
-        group = group.take(pa.array(np.argsort(group.column("__rank").to_numpy(), kind="stable")))
-        gx, gy = (group.column(c).to_numpy().astype(float) for c in ("__x", "__y"))
-        if not (np.isfinite(gx).all() and np.isfinite(gy).all()):
-            raise InvalidData("x and y must be finite")
-        first = int(np.searchsorted(group.column("__rank").to_numpy(), group.column("__chunk")[0].as_py() * block))
-        fit, rw = online_values(gx, gy, o, first)
-        mine = group.select(own).slice(first)
-        null = lambda v: pa.array(v, mask=np.isnan(v))
-        held = np.minimum(group.column("__rank").to_numpy()[first:] + 1, o.window_capacity)
-        return mine.append_column("y_smooth", null(fit)).append_column("residual", null(gy[first:] - fit)).append_column("robustness_weight", null(rw)).append_column("window_size", pa.array(held))
-
-    return rows.groupBy(*by, "__chunk").applyInArrow(run, schema)
+    # the rows of a block stand together and in order, so windows of many series are worked out at once
+    columns = [*(F.col(f"`{c}`") for c in by), "__chunk"]
+    rows = rows.repartition(*columns).sortWithinPartitions(*columns, "__rank")
+    rows = rows.select(*(F.col(f"`{c}`") for c in own), "__x", "__y", "__rank", "__chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0), np.zeros(0)]
+        for batch in batches:
+            new = [batch.column(len(own) + j).to_numpy(zero_copy_only=False).astype(float) for j in range(2)]
+            rank, chunk = (batch.column(len(own) + j).to_numpy(zero_copy_only=False) for j in (2, 3))
+            if not (np.isfinite(new[0]).all() and np.isfinite(new[1]).all()):
+                raise InvalidData("x and y must be finite")
+            gx, gy = (np.concatenate(pair) for pair in zip(held, new, strict=True))
+            mine = rank >= chunk * block  # the others are only there for the windows of their block
+            size = np.minimum(rank + 1, o.window_capacity)[mine]
+            fit, rw = online_at(gx, gy, np.flatnonzero(mine) + len(held[0]), size, o)
+            held = [gx[len(gx) - min(reach, len(gx)) :], gy[len(gy) - min(reach, len(gy)) :]]
+            null = lambda v: pa.array(v, mask=np.isnan(v))
+            kept = batch.filter(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(own)], null(fit), null(new[1][mine] - fit), null(rw), pa.array(size)], [*own, *_ONLINE_FIELDS])
+
+    return rows.mapInArrow(run, schema)

@@ -24,65 +24,68 @@ from tideline.options import InvalidData, Options, UnsupportedFeature
 from tideline.plans.ranks import global_rank
 from tideline.plans.shared import Scratch
 
-MAX_ANCHORS, BINS, COLLECT, WALK = 4096, 4096, 10_000, 1 << 22
+MAX_ANCHORS, COLLECT, WALK = 4096, 10_000, 1 << 22
+#: Bits of a value that are left out of the numbers of bins, from level to level.
+_LEVELS = (44, 24, 0)
 
 Values = Callable[[pa.RecordBatch], np.ndarray]
 
 
-def _counts(values: Values, edges: tuple[float, float] | None, bins: int, exact: bool):
-    """A row for each bin (or value) of a task: its place, how many, the least, the largest and the sum of
-    their sizes."""
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Doubles as integers in the same order, so that their upper bits are bins of about equal relative width."""
+    bits = (v + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def _tally(points: DataFrame, values: Values, shift: int = 63, within: tuple[int, int] | None = None) -> list:
+    """A row for each bin, in order: its number, how many values it has, the least, the largest and the sum
+    of their sizes. ``within`` is the shift and number of a wider bin to look into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = values(batch)
+            v = np.ascontiguousarray(values(batch), float)
             v = v[~np.isnan(v)]
-            if edges is not None:
-                v = v[(v >= edges[0]) & (v <= edges[1])]
+            if within is not None:
+                v = v[_ordered(v) >> within[0] == within[1]]
             if not len(v):
                 continue
             v = np.sort(v)
-            if exact:
-                at, first = v, np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            else:
-                at = np.zeros(len(v)) if edges is None else np.minimum(np.floor((v - edges[0]) / ((edges[1] - edges[0]) / bins)), bins - 1)
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            at = _ordered(v) >> shift
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             ends = np.append(first[1:], len(v))
             yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(ends - first), pa.array(v[first]), pa.array(v[ends - 1]), pa.array(np.add.reduceat(np.abs(v), first))], ["b", "c", "lo", "hi", "size"])
 
-    return run
-
-
-def _tally(points: DataFrame, values: Values, edges=None, exact: bool = False) -> list:
-    rows = points.mapInArrow(_counts(values, edges, BINS, exact), "b double, c long, lo double, hi double, size double")
+    rows = points.mapInArrow(run, "b long, c long, lo double, hi double, size double")
     rows = rows.groupBy("b").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size"))
     return sorted(rows.collect(), key=lambda r: r.b)
 
 
 def median_of(points: DataFrame, values: Values) -> tuple[float, float]:
-    """The exact median of the values, and the mean of their sizes. Values are counted in bins, and in bins
-    of the bins that hold the two middle ones, until ``COLLECT`` are left at most or no bin is narrower;
-    these are counted by value."""
-    (whole,) = _tally(points, values)
-    n, lo, hi = whole.c, whole.lo, whole.hi
-    left, ranks = n, [(n - 1) // 2, n // 2]
-    while left > COLLECT and hi > lo and lo + (hi - lo) / BINS > lo:
-        bins, passed = [], 0
-        for r in _tally(points, values, (lo, hi)):
-            if any(passed <= k < passed + r.c for k in ranks):
-                bins.append((passed, r))
+    """The exact median of the values, and the mean of their sizes. Values are counted by their upper bits,
+    and those of the bin that holds the two middle ones by more bits, at last by value; a bin of ``COLLECT``
+    values at most is counted by value at once. What reaches the driver is a row a bin."""
+    within, before, n = None, 0, 0
+    for shift in _LEVELS:
+        rows = _tally(points, values, shift, within)
+        if within is None:
+            n, size = sum(r.c for r in rows), sum(r.size for r in rows)
+            ranks = ((n - 1) // 2, n // 2)
+        passed, found = before, []
+        for r in rows:
+            found += [(passed, r) for k in ranks if passed <= k < passed + r.c]
             passed += r.c
-        if len(bins) == 2:  # the middle ones are the last and the first of two bins
-            return 0.5 * (bins[0][1].hi + bins[1][1].lo), whole.size / n
-        before, found = bins[0]
-        if found.c == left:
+        (at, low), (_, high) = found
+        if low.b != high.b or low.lo == low.hi:  # the last of one bin and the first of the next, or one value
+            break
+        within, before = (shift, low.b), at
+        if low.c <= COLLECT and shift:
+            found, passed = [], before
+            for r in _tally(points, values, 0, within):
+                found += [r for k in ranks if passed <= k < passed + r.c]
+                passed += r.c
+            low, high = found
             break
-        lo, hi, left, ranks = found.lo, found.hi, found.c, [k - before for k in ranks]
-    found, passed = [], 0
-    for r in _tally(points, values, (lo, hi), exact=True):
-        found += [r.b for k in ranks if passed <= k < passed + r.c]
-        passed += r.c
-    return 0.5 * (found[0] + found[1]), whole.size / n
+    return 0.5 * (low.hi + high.lo), size / n
 
 
 def exact_median(df: DataFrame, value: Column) -> float:
@@ -247,7 +250,7 @@ def _padding(df: DataFrame, whole: DataFrame, o: Options, n: int, k: int) -> Dat
         upper = whole.where((i >= n - 1 - k) & (i <= n - 2)).select((F.lit(2 * (n - 1) + k) - i).alias("rank"), (2 * xn - F.col("__x")).alias("x"), F.col("__y").alias("y"), one.alias("w"))
         return lower.union(upper)
     i = F.col("id")
-    steps = df.sparkSession.range(1, k + 1)
+    steps = df.sparkSession.range(1, k + 1, 1, 1 + k // (1 << 20))
     ly, ry = (y0, yn) if o.boundary == "extend" else (0.0, 0.0)
     lower = steps.select((F.lit(k) - i).alias("rank"), (F.lit(x0) - i * (x1 - x0)).alias("x"), F.lit(ly).alias("y"), one.alias("w"))
     upper = steps.select((F.lit(n - 1 + k) + i).alias("rank"), (F.lit(xn) + i * (xn - xm)).alias("x"), F.lit(ry).alias("y"), one.alias("w"))
@@ -299,8 +302,8 @@ def _scale(points: DataFrame, knots: Knots, scale: str) -> float:
 
     rows = points.select("rank", "x", "y", "w")
     if scale == "mean":
-        (whole,) = _tally(rows, residuals)
-        s = mean = whole.size / whole.c
+        parts = _tally(rows, residuals)
+        s = mean = sum(r.size for r in parts) / sum(r.c for r in parts)
     elif scale == "mar":
         s, mean = median_of(rows, lambda batch: np.abs(residuals(batch)))
     else:
@@ -314,4 +317,4 @@ def _largest_change(points: DataFrame, old: Knots, new: Knots) -> float:
         rank, x, *_ = _columns(batch)
         return np.abs(new.at(rank, x) - old.at(rank, x))
 
-    return _tally(points.select("rank", "x", "y", "w"), changes)[0].hi
+    return _tally(points.select("rank", "x", "y", "w"), changes)[-1].hi
