@@ -1,5 +1,10 @@
 import hashlib
+import itertools
+import math
+import re
+from collections import Counter
 
+import pytest
 import regex
 
 from tideline.llm import secrets as S
@@ -38,12 +43,47 @@ def test_verdicts(spark):
 
 
 def test_held_out_findings(spark):
-    forest = S.default_forest(spark)
-    rows = S.labelled_findings(1500, seed=5)
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = S.default_model(docs)
+    rows = S.labelled_findings(1500, seed=5, words=model.language.words)
     df = spark.createDataFrame(rows, "found string, before string, after string, path string, label int")
     names = list(S.FEATURES)
-    got = df.select("label", *S.features(S.F.col("found"), S.F.col("before"), S.F.col("after"), S.F.col("path"))).selectExpr("label", f"{forest.sql(names)} AS p").collect()
+    got = df.select("label", *S.features(S.F.col("found"), S.F.col("before"), S.F.col("after"), S.F.col("path"), model.language)).selectExpr("label", f"{model.forest.sql(names)} AS p").collect()
     assert sum((r.p >= 0.5) == (r.label == 1) for r in got) >= 0.97 * len(got)
+    # of the table: what is assigned to a token is secret, card numbers and host names aren't
+    found = S.scan(docs, model).collect()
+    hexes = [r for r in found if re.fullmatch("[0-9a-fA-F]{40}", r.found)]
+    cards = [r for r in found if re.fullmatch("[0-9]{16}", r.found)]
+    assert hexes and cards and sum(r.is_secret for r in hexes) >= 0.95 * len(hexes) and sum(r.is_secret for r in cards) <= 0.05 * len(cards)
+
+
+def test_language_by_brute_force(spark):
+    texts = ["The cat sat, the CAT ran; catalogue 12cats", None, "", "zebra's zebra é catalogue"] + ["catalogue"] * 5
+    got = S.learn_language(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    words = Counter(w for t in texts for w in re.findall("[a-z]+", (t or "").lower()))
+    assert set(got.words) == {w for w in words if len(w) >= 4} and got.words[0] == "catalogue"
+    counts = [[0.5] * 27 for _ in range(27)]
+    for w, n in words.items():
+        for a, b in itertools.pairwise([0, *(ord(c) - 96 for c in w), 0]):
+            counts[a][b] += n
+    assert got.transitions == pytest.approx([math.log(n / sum(row)) for row in counts for n in row])
+    some = ["catalogue12", "ab-cd", "1234", "thecatzebra_x9", ""]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(some)], "k int, t string").select("k", got.likelihood(S.F.col("t")).alias("p"), got.covered(S.F.col("t")).alias("c")).collect()
+    for r in rows:
+        codes = [0, *(ord(c) - 96 if "a" <= c <= "z" else 0 for c in some[r.k]), 0]
+        steps = [got.transitions[27 * a + b] for a, b in itertools.pairwise(codes) if a or b]
+        assert r.p == pytest.approx(sum(steps) / len(steps) if steps else -10)
+    assert {r.k: r.c for r in rows} == {0: 9, 1: 0, 2: 0, 3: 5, 4: 0}
+
+
+def test_many_candidates_and_marks_in_one_text(spark):
+    many = " ".join(f"k{n:015d} token=v{n:09d}" for n in range(3000))
+    odd = f"a{S._MARK}b password=ab{S._MARK}cdefgh9 {S._INSTEAD}"
+    rows = [(1, many, "x", 1), (2, odd, "x", 1)]
+    got = sorted((r.doc_id, r.start, r.length, r.before, r.after) for r in S.candidates(spark.createDataFrame(rows, SCHEMA)).select("*", S.F.length("found").alias("length")).collect())
+    want = [(k, m.start(), len(m[0]), t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 48]) for k, t in ((1, many), (2, odd.replace(S._MARK, S._INSTEAD))) for m in regex.finditer(S.PATTERN, t)]
+    assert len(want) == 6001 and got == want
 
 
 def test_plan_is_native(spark):
