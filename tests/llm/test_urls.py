@@ -49,6 +49,26 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum(got[k] == bad for k, (_, bad) in enumerate(rows[600:])) > 0.95 * 300
 
 
+def test_statistics_cover_all_labelled_urls(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"http://h{rng.randrange(60)}.{'bad' if k % 2 else 'good'}.{rng.choice(['org', 'xyz'])}/p{k}", k % 2 == 1) for k in range(800)]
+    df = spark.createDataFrame([*rows, (None, True)], "url string, block boolean")
+    model = U.train(df, sample_rows=80)
+    want = {}
+    for u, b in rows:
+        labels = u.split("/")[2].split(".")
+        for k in (1, 2):
+            n, s = want.get(f"{k}/{'.'.join(labels[-k:])}", (0, 0.0))
+            want[f"{k}/{'.'.join(labels[-k:])}"] = n + 1, s + b
+    assert model.held == want
+    pages = spark.createDataFrame([(k, f"http://new{k}.{'bad' if k % 2 else 'good'}.org/{k}") for k in range(50)] + [(99, None)], SCHEMA)
+    held = {r.page_id: (r.verdict, r.block_score) for r in U.judge(pages, model, rules=()).collect()}
+    assert all(held[k][0] == ("block" if k % 2 else "allow") for k in range(50))
+    monkeypatch.setattr(U, "MAP_ROWS", 2)
+    joined = U.UrlModel(model.boosted, model.counts, model.overall)
+    assert joined.held is None and {r.page_id: (r.verdict, r.block_score) for r in U.judge(pages, joined, rules=()).collect()} == held
+
+
 def test_sql_equals_arrays(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 3))
