@@ -62,8 +62,7 @@ class Language:
     def likelihood(self, found: Column) -> Column:
         """The mean log probability of the transitions within the candidate, whatever isn't a letter being a
         word's end; -10 for one without letters."""
-        code = lambda i: F.greatest(F.lit(0), F.ascii(F.substring(found, i, F.lit(1))) - 96)
-        letters = F.transform(F.sequence(F.lit(1), F.length(found)), lambda i: F.when(code(i) <= 26, code(i)).otherwise(0))
+        letters = F.transform(F.split(found, ""), lambda c: F.when(F.ascii(c).between(97, 122), F.ascii(c) - 96).otherwise(0))
         steps = F.zip_with(F.concat(F.array(F.lit(0)), letters), F.concat(letters, F.array(F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         steps = F.filter(steps, lambda s: (s["a"] > 0) | (s["b"] > 0))
         table_ = F.array(*(F.lit(v) for v in self.transitions))
@@ -84,7 +83,8 @@ def learn_language(texts: DataFrame, text_col: str = "text") -> Language:
     words = texts.select(F.explode(F.split(F.lower(F.col(text_col)), "[^a-z]+")).alias("w")).where("w <> ''").groupBy("w").count()
     scratch = Scratch(texts.sparkSession, "words")
     words = scratch.keep(words, "counts")
-    pairs = words.select(F.concat(F.lit("`"), "w", F.lit("`")).alias("w"), "count").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p"), "count")
+    end, letters = F.array(F.lit("`")), F.split("w", "")
+    pairs = words.select(F.explode(F.zip_with(F.concat(end, letters), F.concat(letters, end), lambda a, b: F.concat(a, b))).alias("p"), "count")
     frequent = words.where(F.length("w") >= LEAST_WORD).orderBy(F.desc("count"), "w").limit(DICTIONARY)
     # both results are of bounded size: 27 * 27 pairs, and DICTIONARY words
     counts = [[0.5] * 27 for _ in range(27)]
