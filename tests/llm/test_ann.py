@@ -40,6 +40,17 @@ def test_small_tables_are_exact(spark):
         assert all([r for r, *_ in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
 
 
+def test_the_layout_does_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=12).tolist(), "x") for i in range(900)] + [(5, rng.normal(size=12).tolist(), "x")]
+    answers = []
+    for dealt in (rows, rows[::-1]):
+        df = spark.createDataFrame(dealt, "vec_id long, embedding array<double>, rank string").repartition(1 if dealt is rows else 7)
+        answers.append(sorted(map(tuple, A.search(df, F.col("vec_id") % 5 == 0, k=5, rerank=5).collect())))
+    assert answers[0] == answers[1] and len(answers[0]) == 180 * 5
+
+
 def test_a_very_common_vector_gives_its_least_ids():
     approx = np.array([1.0, 5, 5, 2, 5, 5, 0])
     assert sorted(A._best(approx, 3).tolist()) == [1, 2, 4] and sorted(A._best(approx, 5).tolist()) == [1, 2, 3, 4, 5]

@@ -4,7 +4,11 @@ A vector is cut into subspaces of two dimensions with sixteen centres each, so a
 Centres and codes lessen ``|r|^2 + (eta - 1) r_par^2``: the part of the quantisation residual along the
 vector, which changes large inner products most, costs ``eta`` times the rest. A query makes a table of
 its inner products with all centres; the scan adds up table entries by the codes of every vector (two
-codes, a byte, at a time), and the best of each batch are scored again from the original vectors.
+codes, a byte, at a time), and the best are scored again from the original vectors.
+
+The index is dealt into blocks of about ``BLOCK_ROWS`` by a hash of the id, each a row of packed arrays, and
+of every block the best ``rerank`` are scored again. So what is found doesn't depend on how rows lie, and
+the share that is scored again, and with it the recall, doesn't fall as the table grows.
 
 Centres are fitted on a bounded sample in the driver. Every row is encoded and scanned. Queries go to
 the rows in blocks of ``QUERY_BLOCK``; a task keeps each query's best so far, so what it sends on grows
@@ -21,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import slices, table
 from tideline.plans.shared import Scratch
 
 SUB, CENTRES, THRESHOLD = 2, 16, 0.2
-#: Rows fitted on, at most about; queries in a block; rows of a batch that are scored again.
-SAMPLE_ROWS, QUERY_BLOCK, RERANK = 20_000, 8192, 96
+#: Rows fitted on, at most about; queries in a block; rows of a block of the index, and how many of them, besides
+#: as many as are asked for, are scored again.
+SAMPLE_ROWS, QUERY_BLOCK, BLOCK_ROWS, RERANK = 8192, 8192, 8192, 96
 ROUNDS, SWEEPS = 12, 2
 
 
@@ -125,11 +130,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+_INDEX = "ids binary, vectors binary, codes binary"
+
+
 def _encode(quantiser: Quantiser):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = quantiser.pack(quantiser.codes(_matrix(batch.column(1), quantiser.dim))) if batch.num_rows else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "vector", "codes"])
+    """One row of a block of the index: its ids in order, vectors and codes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("vec_id", "ascending"), ("vector_hash", "ascending")])
+        vectors = _matrix(group.column("vector"), quantiser.dim)
+        codes = np.concatenate([quantiser.pack(quantiser.codes(vectors[a : a + 1024])) for a in range(0, len(vectors), 1024)])
+        ids = group.column("vec_id").to_numpy()
+        return pa.table({n: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for n, v in (("ids", ids), ("vectors", vectors), ("codes", codes))})
 
     return run
 
@@ -146,14 +158,10 @@ def _best(approx: np.ndarray, n: int) -> np.ndarray:
 def _scan(quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(ids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            order = np.argsort(own, kind="stable")
-            own = own[order]
-            vectors = _matrix(batch.column(1), quantiser.dim)[order]
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(own), -1)[order].T.astype(np.intp)
+        for block in slices(batches, (1,), 1):  # one row after the other
+            own = np.frombuffer(block.column(0)[0].as_py(), np.int64)
+            vectors = np.frombuffer(block.column(1)[0].as_py()).reshape(len(own), quantiser.dim)
+            codes = np.frombuffer(block.column(2)[0].as_py(), np.uint8).reshape(len(own), -1).T.astype(np.intp)
             for a in range(0, len(ids), 128):
                 some = queries[a : a + 128]
                 luts = quantiser.tables(some)
@@ -185,7 +193,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
 
     Scores are exact, in double precision, summed in the order of the dimensions. Ties go to the smaller
     id. A query's own id is never among its results; of rows that repeat an id each is a row, but none is a
-    result of a query of that id. Vectors that are null, zero, or hold a null or non-finite component take
+    result of a query of that id, which asks with the least of their vectors. Vectors that are null, zero, or hold a null or non-finite component take
     no part, nor do vectors of another dimension than the most frequent one (of equally frequent ones the
     least) or rows without an id. Queries with fewer other rows than ``k`` get all; no rows give none;
     other columns are not read.
@@ -202,11 +210,13 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     share = int(min(1.0, sample_rows / max(sizes[0]["count"], 1)) * (1 << 30)) + 1
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("vec_id", "vector").toPandas().sort_values("vec_id")
     quantiser = fit(np.array(sample["vector"].tolist(), float).reshape(-1, dim))
-    index = scratch.keep(rows.select("vec_id", "vector").mapInArrow(_encode(quantiser), "vec_id long, vector array<double>, codes binary"), "index")
+    blocks = max(1, -(-sizes[0]["count"] // BLOCK_ROWS))
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "vector", F.xxhash64("vector").alias("vector_hash"))
+    index = scratch.keep(dealt.groupBy("block").applyInArrow(_encode(quantiser), _INDEX), "index")
     found: list[DataFrame] = []
     asked = rows.where("q").select("vec_id", "vector")
     block: list = []
-    for row in asked.dropDuplicates(["vec_id"]).toLocalIterator():
+    for row in asked.groupBy("vec_id").agg(F.min("vector").alias("vector")).toLocalIterator():
         block.append(row)
         if len(block) == query_block:
             found.append(_block(index, quantiser, block, k, rerank, scratch, len(found)))
