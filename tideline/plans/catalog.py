@@ -1,7 +1,8 @@
 """Queries over the driver's tables, one or more for each operator, and the SQL that gives the same rows.
 
-``daily`` is the mean of ``events.value`` for each type and day: short series, for definitions in SQL whose
-work grows with the square of the series. Others take tables as they are. Doubles are rounded.
+``hourly`` is the mean of ``events.value`` for each type and hour, series of some hundreds of points: the work
+of definitions in SQL grows with the square of the series. Leave-one-out, whose work grows with the cube, has
+``daily`` means. Others take tables as they are. Doubles are rounded.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from tideline.plans.relational import smooth_large
 Query = Callable[[SparkSession, str], DataFrame]
 
 DAILY_SQL = "SELECT event_type AS g, date_diff('day', DATE '1970-01-01', ts::DATE)::DOUBLE AS x, avg(value) AS y FROM events GROUP BY ALL"
+HOURLY_SQL = "SELECT event_type AS g, (epoch_us(ts) // 3600000000)::DOUBLE AS x, avg(value) AS y FROM events GROUP BY ALL"
 EVENTS_SQL = "SELECT event_type AS g, epoch_us(ts) / 1e6 AS x, value AS y FROM events"
 RESIDUALS_SQL = "SELECT o_orderpriority AS g, o_orderkey, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS r FROM orders"
 
@@ -34,16 +36,21 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("g"), F.unix_date(F.to_date("ts")).cast("double").alias("x")).agg(F.avg("value").alias("y"))
 
 
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    return _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("g"), hour.cast("double").alias("x")).agg(F.avg("value").alias("y"))
+
+
 def _round(df: DataFrame, *columns: str, to: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, to) for c in columns})
 
 
-def _daily_fit(**options) -> Query:
-    return lambda spark, d: _round(batch.smooth(daily(spark, d), "x", "y", ["g"], **options).select("g", "x", "y_smooth", "robustness_weight"), "y_smooth", "robustness_weight")
+def _hourly_fit(**options) -> Query:
+    return lambda spark, d: _round(batch.smooth(hourly(spark, d), "x", "y", ["g"], **options).select("g", "x", "y_smooth", "robustness_weight"), "y_smooth", "robustness_weight")
 
 
-def _daily_fit_sql(**options) -> str:
-    return oracle.query([f"s AS ({DAILY_SQL})", *oracle.fit(**options)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight FROM f")
+def _hourly_fit_sql(**options) -> str:
+    return oracle.query([f"s AS ({HOURLY_SQL})", *oracle.fit(**options)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight FROM f")
 
 
 def _kernels() -> tuple[dict[str, Query], dict[str, str]]:
@@ -92,8 +99,8 @@ def _robust() -> tuple[dict[str, Query], dict[str, str]]:
 def _pads() -> tuple[dict[str, Query], dict[str, str]]:
     out, sql = {}, {}
     for name in ("extend", "reflect", "zero", "noboundary"):
-        out[f"pad_{name}"] = lambda spark, d, b=name: _round(padded(daily(spark, d), "x", "y", ["g"], 6, b), "x", "y")
-        sql[f"pad_{name}"] = oracle.query([f"s AS ({DAILY_SQL})", *oracle.pads("", name, "least(6, n - 1)")], "SELECT g, rank, round(x, 4) AS x, round(y, 4) AS y FROM p")
+        out[f"pad_{name}"] = lambda spark, d, b=name: _round(padded(hourly(spark, d), "x", "y", ["g"], 6, b), "x", "y")
+        sql[f"pad_{name}"] = oracle.query([f"s AS ({HOURLY_SQL})", *oracle.pads("", name, "least(6, n - 1)")], "SELECT g, rank, round(x, 4) AS x, round(y, 4) AS y FROM p")
     return out, sql
 
 
@@ -102,7 +109,7 @@ _FITS = {
     **{f"boundary_{b}": {"boundary": b, "iterations": 1, "delta": 0.0, "fraction": 0.5} for b in ("extend", "reflect", "zero", "noboundary")},
     **{f"robust_fit_{r}_{s}": {"robust": r, "scaling": s, "iterations": 2, "delta": 0.0, "fraction": 0.5} for r in ("bisquare", "huber", "talwar") for s in ("mad", "mar", "mean")},
     "delta_interpolation": {"delta": 3.0, "iterations": 2, "fraction": 0.5},
-    "span_minimum": {"delta": 0.0, "iterations": 0, "fraction": 0.01},
+    "span_minimum": {"delta": 0.0, "iterations": 0, "fraction": 1e-6},
 }
 
 
@@ -145,19 +152,19 @@ _Z = {0.99: 2.576, 0.95: 1.96, 0.9: 1.645, 0.8: 1.2815515655446004}
 def _intervals(confidence: float, prediction: float) -> Query:
     names = ("standard_error", "confidence_lower", "confidence_upper", "prediction_lower", "prediction_upper")
     options = _BOUNDS | {"confidence_level": confidence, "prediction_level": prediction}
-    return lambda spark, d: _round(batch.smooth(daily(spark, d), "x", "y", ["g"], **options).select("g", "x", *names), *names)
+    return lambda spark, d: _round(batch.smooth(hourly(spark, d), "x", "y", ["g"], **options).select("g", "x", *names), *names)
 
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     names = ("rmse", "mae", "r_squared", "aic", "aicc", "effective_df", "residual_sd")
-    out = batch.summarize(daily(spark, d), "x", "y", ["g"], **_BOUNDS)
+    out = batch.summarize(hourly(spark, d), "x", "y", ["g"], **_BOUNDS)
     return _round(out.select("g", "n", "fraction_used", *(F.col(f"diagnostics.{c}").alias(c) for c in names)), *names)
 
 
 def _se_ctes() -> list[str]:
     k = oracle.kernel("(abs(b.x - w.x) / w.h)", "tricube")
     return [
-        f"s AS ({DAILY_SQL})",
+        f"s AS ({HOURLY_SQL})",
         *oracle.fit(fraction=0.5, iterations=1, delta=0.0),
         f"u AS (SELECT w.g, w.rank, w.h, sum({k} * b.rw) AS sw, sum({k} * b.rw * (b.y - b.fit) * (b.y - b.fit)) AS rr FROM w JOIN o b ON w.g = b.g AND b.rank BETWEEN w.l AND w.l + w.q - 1 GROUP BY ALL)",
         "e2 AS (SELECT u.g, u.rank, CASE WHEN u.h > 0 AND sw > 2 THEN sqrt(rr / (sw - 2) * (o.rw / sw)) ELSE 0.0 END AS se FROM u JOIN o ON u.g = o.g AND u.rank = o.rank)",
@@ -188,16 +195,17 @@ def delta_anchors(spark: SparkSession, d: str) -> DataFrame:
         at, _ = kernel.anchors(x, 3.0)
         return pa.table({"g": pa.array([group.column("g")[0].as_py()] * len(at), pa.string()), "rank": pa.array(at), "x": pa.array(x[at])})
 
-    return daily(spark, d).select("g", "x").groupBy("g").applyInArrow(run, "g string, rank long, x double")
+    return hourly(spark, d).select("g", "x").groupBy("g").applyInArrow(run, "g string, rank long, x double")
 
 
-ANCHORS_SQL = oracle.query([f"s AS ({DAILY_SQL})", *oracle.pads("", "noboundary", "0"), "q AS (SELECT *, n AS total, 2 AS q FROM p)", *oracle.anchors("", 3.0)], "SELECT g, rank, x FROM a")
+ANCHORS_SQL = oracle.query([f"s AS ({HOURLY_SQL})", *oracle.pads("", "noboundary", "0"), "q AS (SELECT *, n AS total, 2 AS q FROM p)", *oracle.anchors("", 3.0)], "SELECT g, rank, x FROM a")
 
 _FRACTIONS = (0.3, 0.6)
 
 
 def _cv(**options) -> Query:
-    return lambda spark, d: _round(batch.cross_validate(daily(spark, d), "x", "y", ["g"], fractions=_FRACTIONS, iterations=1, delta=0.0, **options), "score", to=3)
+    rows = daily if options["cv"] == "loocv" else hourly
+    return lambda spark, d: _round(batch.cross_validate(rows(spark, d), "x", "y", ["g"], fractions=_FRACTIONS, iterations=1, delta=0.0, **options), "score", to=3)
 
 
 #: Fold numbers from 0, and the fold of each point of d1 (g, x, y, i, n).
@@ -220,7 +228,7 @@ _FOLDS = {
 def _cv_sql(kind: str) -> str:
     """Each point is predicted on the line between the fits to the points of other folds around it."""
     numbers, more, fold, rows = _FOLDS[kind]
-    ctes = [f"d1 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM ({DAILY_SQL}))", *more, f"d0 AS (SELECT g, x, y, {fold} AS fold FROM {rows})", f"fold AS ({numbers})"]
+    ctes = [f"d1 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM ({DAILY_SQL if kind == 'loocv' else HOURLY_SQL}))", *more, f"d0 AS (SELECT g, x, y, {fold} AS fold FROM {rows})", f"fold AS ({numbers})"]
     score = "sqrt(avg(r * r))" if kind == "loocv" else "avg(e)"
     parts = []
     for k, f in enumerate(_FRACTIONS):
@@ -235,14 +243,14 @@ def _cv_sql(kind: str) -> str:
     return oracle.query([*ctes, f"z AS ({' UNION ALL '.join(parts)})"], "SELECT g, fraction, round(score, 3) AS score, fraction = arg_min(fraction, score) OVER (PARTITION BY g) AS is_best FROM z")
 
 
-_CHUNK = {"chunk_size": 12, "overlap": 5, "fraction": 0.5, "iterations": 1}
+_CHUNK = {"chunk_size": 100, "overlap": 20, "fraction": 0.5, "iterations": 1}
 
 
 _CHUNKS_END = "SELECT g, x, round(y, 4) AS y, round(fit, 4) AS y_smooth, round(y - fit, 4) AS residual, round(rw, 4) AS robustness_weight, chunk FROM b4"
 
 
 def _chunks(merge: str) -> Query:
-    return lambda spark, d: _round(chunked.smooth_chunked(daily(spark, d), "x", "y", ["g"], merge=merge, **_CHUNK), "y", "y_smooth", "residual", "robustness_weight")
+    return lambda spark, d: _round(chunked.smooth_chunked(hourly(spark, d), "x", "y", ["g"], merge=merge, **_CHUNK), "y", "y_smooth", "residual", "robustness_weight")
 
 
 def _chunks_sql(merge: str) -> str:
@@ -250,13 +258,13 @@ def _chunks_sql(merge: str) -> str:
     value = lambda v: f"CASE WHEN c{v} IS NULL THEN p{v} ELSE {one.format(v=v)} END"
     return oracle.query(
         [
-            f"b0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS pos FROM ({DAILY_SQL}))",
-            "b1 AS (SELECT *, pos // 12 AS c, false AS late FROM b0 UNION ALL SELECT *, pos // 12 + 1, true FROM b0 WHERE pos % 12 >= 7)",
+            f"b0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS pos FROM ({HOURLY_SQL}))",
+            "b1 AS (SELECT *, pos // 100 AS c, false AS late FROM b0 UNION ALL SELECT *, pos // 100 + 1, true FROM b0 WHERE pos % 100 >= 80)",
             "b2 AS (SELECT *, g || '/' || c AS chunk FROM b1 QUALIFY NOT bool_and(late) OVER (PARTITION BY g, c))",
             "s AS (SELECT chunk AS g, x, y FROM b2)",
             *oracle.fit(fraction=0.5, iterations=1, delta=0.0),
             "b3 AS (SELECT b2.g, b2.x, b2.y, any_value(b2.pos) AS pos, max(CASE WHEN NOT late THEN fit END) AS pf, max(CASE WHEN late THEN fit END) AS cf, max(CASE WHEN NOT late THEN rw END) AS pr, max(CASE WHEN late THEN rw END) AS cr FROM b2 JOIN f ON f.g = b2.chunk AND f.x = b2.x GROUP BY ALL)",
-            f"b4 AS (SELECT g, x, y, {value('f')} AS fit, {value('r')} AS rw, pos // 12 + (pos % 12 >= 7)::BIGINT AS chunk FROM (SELECT *, (pos % 12 - 7) / 5.0 AS a FROM b3))",
+            f"b4 AS (SELECT g, x, y, {value('f')} AS fit, {value('r')} AS rw, pos // 100 + (pos % 100 >= 80)::BIGINT AS chunk FROM (SELECT *, (pos % 100 - 80) / 20.0 AS a FROM b3))",
         ],
         _CHUNKS_END,
     )
@@ -291,7 +299,7 @@ def _online_full_sql() -> str:
 
 def _chunk_measures(running: bool) -> Query:
     def run(spark, d):
-        smoothed = chunked.smooth_chunked(daily(spark, d), "x", "y", ["g"], merge="average", **_CHUNK)
+        smoothed = chunked.smooth_chunked(hourly(spark, d), "x", "y", ["g"], merge="average", **_CHUNK)
         return _round(chunked.chunk_diagnostics(smoothed, "y", ["g"], running=running), "rmse", "mae", "r_squared", "residual_sd")
 
     return run
@@ -304,7 +312,7 @@ def chunk_measures_sql(running: bool = False) -> str:
 
 
 #: Weights that vary, and weights of which a whole window is 0.
-_WEIGHTS = {"varied": "0.25 + (x::BIGINT % 7) / 4.0", "gap": "CASE WHEN x::BIGINT % 30 BETWEEN 8 AND 20 THEN 0.0 ELSE 1.0 + (x::BIGINT % 3) / 2.0 END"}
+_WEIGHTS = {"varied": "0.25 + (x::BIGINT % 7) / 4.0", "gap": "CASE WHEN x::BIGINT % 240 BETWEEN 20 AND 219 THEN 0.0 ELSE 1.0 + (x::BIGINT % 3) / 2.0 END"}
 _WEIGHTED = {
     "case_weights": ("varied", {"fraction": 0.5, "iterations": 1, "delta": 0.0}),
     "case_weights_robust": ("varied", {"fraction": 0.4, "iterations": 3, "boundary": "reflect"}),
@@ -314,14 +322,14 @@ _WEIGHTED = {
 
 def _weighted(weights: str, options: dict) -> Query:
     def run(spark, d):
-        rows = daily(spark, d).withColumn("w", F.expr(_WEIGHTS[weights].replace("x::BIGINT", "cast(x AS BIGINT)")).cast("double"))
+        rows = hourly(spark, d).withColumn("w", F.expr(_WEIGHTS[weights].replace("x::BIGINT", "cast(x AS BIGINT)")).cast("double"))
         return _round(batch.smooth(rows, "x", "y", ["g"], "w", **options).select("g", "x", "y_smooth", "robustness_weight"), "y_smooth", "robustness_weight")
 
     return run
 
 
 def _weighted_sql(weights: str, options: dict) -> str:
-    return oracle.query([f"s AS (SELECT *, ({_WEIGHTS[weights]})::DOUBLE AS w FROM ({DAILY_SQL}))", *oracle.fit(weighted=True, **options)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight FROM f")
+    return oracle.query([f"s AS (SELECT *, ({_WEIGHTS[weights]})::DOUBLE AS w FROM ({HOURLY_SQL}))", *oracle.fit(weighted=True, **options)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight FROM f")
 
 
 _CONVERGE = {"fraction": 0.5, "iterations": 6, "delta": 0.0}
@@ -329,13 +337,13 @@ _CONVERGE = {"fraction": 0.5, "iterations": 6, "delta": 0.0}
 
 def converged(spark: SparkSession, d: str) -> DataFrame:
     """Where the passes of each series stop, and the values there."""
-    series, options = daily(spark, d), _CONVERGE | {"auto_converge": 0.5}
+    series, options = hourly(spark, d), _CONVERGE | {"auto_converge": 0.5}
     fits = batch.smooth(series, "x", "y", ["g"], **options).select("g", "x", "y_smooth", "robustness_weight")
     used = batch.summarize(series, "x", "y", ["g"], **options).select("g", F.col("iterations_used").cast("long").alias("iterations_used"))
     return _round(fits.join(used, "g"), "y_smooth", "robustness_weight")
 
 
-CONVERGED_SQL = oracle.query([f"s AS ({DAILY_SQL})", *oracle.fit(converge=0.5, **_CONVERGE)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight, t::BIGINT AS iterations_used FROM f")
+CONVERGED_SQL = oracle.query([f"s AS ({HOURLY_SQL})", *oracle.fit(converge=0.5, **_CONVERGE)], "SELECT g, x, round(fit, 4) AS y_smooth, round(rw, 4) AS robustness_weight, t::BIGINT AS iterations_used FROM f")
 
 
 def kernel_constants(spark: SparkSession, d: str) -> DataFrame:
@@ -404,7 +412,7 @@ def queries() -> dict[str, Query]:
         "online_two_points": _online("incremental", 2, ("residual", "window_size")),
         "online_full": _online("full"),
         **{f"chunk_{m}": _chunks(m) for m in ("average", "weighted_average", "take_first", "take_last")},
-        **{name: _daily_fit(**_options(o)) for name, o in _FITS.items()},
+        **{name: _hourly_fit(**_options(o)) for name, o in _FITS.items()},
         **_kernels()[0],
         **_robust()[0],
         **_pads()[0],
@@ -432,7 +440,7 @@ def oracle_sql() -> dict[str, str]:
         "online_two_points": _online_sql(2, "round(y - f, 4) AS residual, m AS window_size"),
         "online_full": _online_full_sql(),
         **{f"chunk_{m}": _chunks_sql(m) for m in ("average", "weighted_average", "take_first", "take_last")},
-        **{name: _daily_fit_sql(**o) for name, o in _FITS.items()},
+        **{name: _hourly_fit_sql(**o) for name, o in _FITS.items()},
         **_kernels()[1],
         **_robust()[1],
         **_pads()[1],
