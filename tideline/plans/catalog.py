@@ -147,12 +147,14 @@ _BOUNDS = {"fraction": 0.5, "iterations": 1, "delta": 0.0, "confidence_level": 0
 _LEVELS = {"intervals": (0.95, 0.95), "intervals_99": (0.99, 0.99), "intervals_90": (0.9, 0.9), "intervals_80": (0.8, 0.8), "intervals_shared_level": (0.9, 0.95)}
 #: Two-sided normal quantiles: round values for usual levels, exact ones for others.
 _Z = {0.99: 2.576, 0.95: 1.96, 0.9: 1.645, 0.8: 1.2815515655446004}
+#: The quantile of this level is approximated to nine digits, so fewer are compared.
+_DIGITS = {0.8: 2}
 
 
 def _intervals(confidence: float, prediction: float) -> Query:
     names = ("standard_error", "confidence_lower", "confidence_upper", "prediction_lower", "prediction_upper")
-    options = _BOUNDS | {"confidence_level": confidence, "prediction_level": prediction}
-    return lambda spark, d: _round(batch.smooth(hourly(spark, d), "x", "y", ["g"], **options).select("g", "x", *names), *names)
+    options, to = _BOUNDS | {"confidence_level": confidence, "prediction_level": prediction}, _DIGITS.get(prediction, 4)
+    return lambda spark, d: _round(batch.smooth(hourly(spark, d), "x", "y", ["g"], **options).select("g", "x", *names), *names, to=to)
 
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -175,8 +177,9 @@ def _se_ctes() -> list[str]:
 
 
 
-def _intervals_sql(z: float) -> str:
-    return oracle.query(_se_ctes(), f"SELECT g, x, round(se, 4) AS standard_error, round(fit - {z} * se, 4) AS confidence_lower, round(fit + {z} * se, 4) AS confidence_upper, round(fit - {z} * sqrt(se * se + sd * sd), 4) AS prediction_lower, round(fit + {z} * sqrt(se * se + sd * sd), 4) AS prediction_upper FROM fe JOIN sd USING (g)")
+def _intervals_sql(level: float) -> str:
+    z, to = _Z[level], _DIGITS.get(level, 4)
+    return oracle.query(_se_ctes(), f"SELECT g, x, round(se, {to}) AS standard_error, round(fit - {z} * se, {to}) AS confidence_lower, round(fit + {z} * se, {to}) AS confidence_upper, round(fit - {z} * sqrt(se * se + sd * sd), {to}) AS prediction_lower, round(fit + {z} * sqrt(se * se + sd * sd), {to}) AS prediction_upper FROM fe JOIN sd USING (g)")
 
 
 DIAGNOSTICS_SQL = oracle.query(
@@ -424,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "smooth_events": oracle.query([f"s AS ({EVENTS_SQL})", *oracle.fit()], _events_back("event_type, round(fit, 3) AS y_smooth, round(e.value - fit, 3) AS residual").format(key="event_type", on="e.event_type = f.g AND")),
         "smooth_large": oracle.query([f"s AS (SELECT 0 AS g, x, y FROM ({EVENTS_SQL}))", *oracle.fit(fraction=0.3, iterations=1)], _events_back("round(fit, 3) AS y_smooth").format(key="1", on="")),
         "ols_line": OLS_SQL,
-        **{name: _intervals_sql(_Z[levels[1]]) for name, levels in _LEVELS.items()},
+        **{name: _intervals_sql(levels[1]) for name, levels in _LEVELS.items()},
         "diagnostics": DIAGNOSTICS_SQL,
         "delta_anchors": ANCHORS_SQL,
         **{name: _weighted_sql(*how) for name, how in _WEIGHTED.items()},
