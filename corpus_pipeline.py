@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences, a stage at a time."""
+"""From raw documents to packed training sequences, a stage at a time.
+
+Every stage but the last takes and returns the columns of documents; others that its input has are dropped,
+whatever their names. A null text has no letter and goes in the first stage; the later stages keep one, were
+it to reach them. A null doc_id is kept as such and told apart by its text, rows that repeat are judged
+alike, and of copies the one with the least doc_id stays (null last, then the least text hash). An empty
+table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +22,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language is rejected: without a letter, or torn between two."""
+    """Drops the documents whose language is rejected: without a letter, or with a narrow margin between two
+    languages. Without any labelled text nothing can be told, so every document is rejected."""
     model = langid.train(docs.where(~langid.is_held_out(F.col("doc_id"))))
     return langid.identify(docs, model).where("NOT rejected").select(*COLUMNS)
 
@@ -27,7 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates; rows with the same doc_id and text stay together."""
     return neardup.drop_near_duplicates(docs).select(*COLUMNS)
 
 
