@@ -26,7 +26,7 @@ from tideline.llm.common import crc_mod, slices, table
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 600, 2000, 48 << 10
 LEVEL, PIECE_BYTES = 8, 4096
 #: Rejected below this share of saving against the runner-up.
-MARGIN = 0.02
+MARGIN = 0.01
 
 _NO_LETTER = regex.compile(r"\P{L}+")
 
