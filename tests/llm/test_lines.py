@@ -49,13 +49,31 @@ def test_brute_force(spark, seed, least):
             assert r.n_lines == len(text[r.doc_id].split("\n"))
 
 
-def test_windows_cover_runs():
+def test_shortest():
     rng = random.Random(1)
     for _ in range(300):
         words, least = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 9))], rng.randrange(1, 12)
-        covered = {k for s, n in L.windows_of(words, least) for k in range(s, s + n)}
-        assert covered == (set(range(len(words))) if sum(words) >= least else set())
-        assert all(sum(words[s : s + n]) >= least for s, n in L.windows_of(words, least))
+        for start, n in enumerate(L.shortest(words, least)):
+            assert n == next((k for k in range(1, len(words) - start + 1) if sum(words[start : start + k]) >= least), 0)
+
+
+@pytest.mark.parametrize("seed,rows_a_block,parts", [(6, 1, 7), (7, 3, 5), (8, 17, 2)])
+def test_intervals_across_blocks(spark, seed, rows_a_block, parts):
+    """A passage in most of the documents, in blocks of a few suffixes."""
+    rng = random.Random(seed)
+    passage = [f"line {k} of it" for k in range(11)]
+    rows = corpus(seed) + [(100 + d, "\n".join([f"own {d}", *passage[rng.randrange(3) : rng.randrange(6, 12)]]), "x") for d in range(30)]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(old, (rows_a_block, parts, "false"), strict=True):
+            spark.conf.set(c, v)
+        got = {(r.doc_id, r.n_chars): r.text for r in L.dedup_lines(spark.createDataFrame([(d, t, len(t or "")) for d, t, _ in rows], "doc_id long, text string, n_chars int"), min_words=9).collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    want = brute(rows, 9)
+    for d, t, _ in rows:
+        assert t is None or got[(d, len(t))] == want[(d if d is not None else 1 << 63, t)]
 
 
 def test_repeated_rows_and_clashing_names(spark):

@@ -4,22 +4,26 @@
    run, so all others are discarded at once and cut the sequences into segments.
 2. Prefix doubling: the rank of the 2^(k+1) lines at a position is the rank of its pair (rank of 2^k
    lines here, rank of 2^k lines 2^k further on) among all pairs in sorted order. A global sort deals
-   them out by range and numbers them in that order, and positions whose pair is unique are discarded.
-3. A run counts from ``min_words`` words. The shortest such window that starts at a line, and the
-   shortest that ends at it, are determined by their lines alone; together they cover exactly the
-   maximal repeated runs that count. Two ranks of overlapping powers of two name a window, so all
-   suffixes of a name share it as a prefix: they are an interval of the suffix array whose longest
-   common prefix is the window or more. The interval's first copy stays; the others' lines go.
-
-A window has at most ``min_words`` lines, so the number of rounds doesn't depend on the data, and every
-join is between a table of positions and a table with one row a class, so a common passage is split
-over tasks.
+   them out by range and numbers them in that order. The last doubling is the sort of the suffixes
+   themselves, by pair and place, so a passage of any number of copies is split over tasks.
+3. Each block of consecutive suffixes forms the longest common prefixes of neighbours, and from them the
+   intervals of every depth. Of an interval's copies the first in place stays. An interval that touches
+   an edge of its block may go on in the next, so there the block's first copy is left open: it goes if
+   another block has an earlier one, by one row a block and depth.
+4. A run counts from ``min_words`` words. A suffix whose longest earlier copy counts loses its first line
+   if what follows that line counts as well (it is then decided there), else all lines of the copy.
+   Together these are the later copies of exactly the maximal repeated runs that count.
+
+So a suffix need be told apart from others only up to the line where what follows its first has
+``min_words`` words: at most ``min_words`` + 1 lines, which the sort goes beyond. The number of rounds
+doesn't depend on the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,48 +81,95 @@ def _segments(min_words: int):
 _SEGMENTS = "d long, h long, seg int, i int, line int, id long, w int"
 
 
-def windows_of(words: list[int], least: int) -> list[tuple[int, int]]:
-    """(start, length) of the shortest windows of ``least`` words at each start and at each end."""
-    found, total, stop = set(), 0, 0
+def shortest(words: list[int], least: int) -> list[int]:
+    """For each start how many items have ``least`` words together; 0 where all that follow have fewer."""
+    out, total, stop = [], 0, 0
     for start in range(len(words)):
         while stop < len(words) and total < least:
             total += words[stop]
             stop += 1
-        if total < least:
-            break
-        found.add((start, stop - start))
+        out.append(stop - start if total >= least else 0)
         total -= words[start]
-    total, start = 0, 0
-    for end in range(len(words)):
-        total += words[end]
-        while total - words[start] >= least:
-            total -= words[start]
-            start += 1
-        if total >= least:
-            found.add((start, end + 1 - start))
-    return sorted(found)
+    return out
 
 
-def _windows(min_words: int, levels: int):
-    """Named windows of each segment: their lines and the two ranks that name them."""
+def _suffixes(min_words: int, levels: int):
+    """The suffixes of each segment that may have a copy that counts: the pair they are sorted by, the lines
+    that tell them apart, from which length a copy counts, and from which it also does without the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in _SUFFIX_TYPES]
             for d, h, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 rows.sort(key=lambda r: r["i"])
-                for start, size in windows_of([r["w"] for r in rows], min_words):
-                    k = size.bit_length() - 1
-                    a, b = rows[start][f"r{k}"], rows[start + size - (1 << k)][f"r{k}"]
-                    if a is not None and b is not None:
-                        for c, v in zip(out, (d, h, rows[start]["line"], [r["line"] for r in rows[start : start + size]], size, a, b), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["d", "h", "line", "lines", "size", "a", "b"])
+                least = shortest([r["w"] for r in rows], min_words) + [0]
+                for start, row in enumerate(rows):
+                    # no other suffix has as many lines in common as the first length that is nowhere repeated
+                    if not least[start] or (row["m"] < levels - 1 and least[start] >= 2 << row["m"]):
+                        continue
+                    left, after = len(rows) - start, start + (1 << (levels - 1))
+                    more = least[start + 1] + 1 if least[start + 1] else left + 1
+                    told = rows[start : start + min(more, left)]
+                    values = (row["last"], rows[after]["last"] if after < len(rows) else -1, d, h, row["i"], least[start], more, [r["r0"] for r in told], [r["line"] for r in told])
+                    for c, v in zip(out, values, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUFFIX_TYPES.values(), strict=True)], list(_SUFFIX_TYPES))
 
     return run
 
 
-_WINDOWS = "d long, h long, line int, lines array<int>, size int, a long, b long"
+_SUFFIX_TYPES = {"a": pa.int64(), "b": pa.int64(), "d": pa.int64(), "h": pa.int64(), "i": pa.int32(), "least": pa.int32(), "more": pa.int32(), "ids": pa.list_(pa.int64()), "lines": pa.list_(pa.int32())}
+_SUFFIXES = "a long, b long, d long, h long, i int, least int, more int, ids array<long>, lines array<int>"
+_FOUND = "d long, h long, i int, lines array<int>, name array<long>"
+
+
+def _prefixes(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Of each of the rows of a matrix its first values."""
+    inside = np.arange(values.shape[1]) < sizes[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values[rows][inside], kind))
+
+
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    """A row for each list, -1 beyond its end."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(sizes), width), -1, np.int64)
+    out[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What goes of each block of sorted suffixes (``name`` null), and what goes if the interval of that name
+    has an earlier copy elsewhere."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = {c: batch.column(k) for k, c in enumerate(_SUFFIX_TYPES)}
+        d, h, i, least, more = (column[c].to_numpy() for c in ("d", "h", "i", "least", "more"))
+        sizes = np.diff(column["ids"].offsets.to_numpy())
+        ids = _matrix(column["ids"], int(sizes.max()))
+        lines = _matrix(column["lines"], ids.shape[1])
+        place = np.empty(len(d), np.int64)
+        place[np.lexsort((i, h, d))] = np.arange(len(d))
+        same = (ids[1:] == ids[:-1]) & (ids[1:] >= 0)
+        common = np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(axis=1)])
+        longest = np.zeros(len(d), np.int64)
+        edges = []
+        for depth in range(1, ids.shape[1] + 1):
+            starts = np.flatnonzero(common < depth)
+            firsts = np.minimum.reduceat(place, starts)
+            longest[place > np.repeat(firsts, np.diff(np.append(starts, len(d))))] = depth
+            for first in {0: firsts[0], int(starts[-1]): firsts[-1]}.values():
+                edges.append((int(first), depth))
+        suffix = np.argsort(place)
+        open_ = np.array([(suffix[first], depth) for first, depth in edges], np.int64).reshape(-1, 2)
+        at, depth = open_.T
+        keep = (depth >= least[at]) & (depth <= sizes[at]) & (depth > longest[at])
+        at, depth = at[keep], depth[keep]
+        later = np.flatnonzero(longest >= least)
+        rows, size = np.concatenate([later, at]), np.concatenate([longest[later], depth])
+        names = pa.concat_arrays([pa.nulls(len(later), pa.list_(pa.int64())), _prefixes(ids, at, depth, pa.int64())])
+        gone = _prefixes(lines, rows, np.where(size >= more[rows], 1, size), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(h[rows]), pa.array(i[rows], pa.int32()), gone, names], ["d", "h", "i", "lines", "name"])
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -136,19 +187,25 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch.drop("lines", "level0")
     levels = max(min_words, 1).bit_length()
     order = Window.partitionBy("d", "h", "seg").orderBy("i")
+    at = at.withColumn("m", F.lit(0)).withColumn("last", F.col("r0"))
     for k in range(levels - 1):
-        pairs = at.withColumn("_next", F.lead(f"r{k}", 1 << k).over(order))
-        pairs = scratch.keep(pairs, f"pairs{k}")
-        classes = pairs.where(f"r{k} IS NOT NULL AND _next IS NOT NULL").groupBy(f"r{k}", "_next").count().where("count > 1")
-        ranks = scratch.keep(classes.orderBy(f"r{k}", "_next").select(f"r{k}", "_next", F.monotonically_increasing_id().alias(f"r{k + 1}")), f"level{k + 1}")
-        at = scratch.keep(pairs.join(ranks, [f"r{k}", "_next"], "left").drop("_next"), f"ranks{k + 1}")
+        pairs = scratch.keep(at.withColumn("_next", F.coalesce(F.lead("last", 1 << k).over(order), F.lit(-1).cast("long"))), f"pairs{k}")
+        classes = pairs.groupBy("last", "_next").agg((F.count("*") > 1).alias("_again"))
+        ranks = scratch.keep(classes.orderBy("last", "_next").select("last", "_next", "_again", F.monotonically_increasing_id().alias("_rank")), f"level{k + 1}")
+        joined = pairs.join(ranks, ["last", "_next"]).withColumn("m", F.when(F.col("_again"), k + 1).otherwise(F.col("m")))
+        at = scratch.keep(joined.drop("last", "_next", "_again").withColumnRenamed("_rank", "last"), f"ranks{k + 1}")
         scratch.drop(f"pairs{k}", f"level{k + 1}", f"ranks{k}" if k else "segments")
-    rows = at.groupBy("d", "h", "seg").agg(F.collect_list(F.struct("i", "line", "w", *(f"r{k}" for k in range(levels)))).alias("rows"))
-    named = scratch.keep(rows.select("d", "h", "rows").mapInArrow(_windows(min_words, levels), _WINDOWS), "windows")
-    first = scratch.keep(named.groupBy("size", "a", "b").agg(F.min(F.struct("d", "h", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = named.join(first, ["size", "a", "b"]).where(F.struct("d", "h", "line") > F.col("first"))
+    rows = at.groupBy("d", "h", "seg").agg(F.collect_list(F.struct("i", "line", "w", "m", "r0", "last")).alias("rows"))
+    suffixes = scratch.keep(rows.select("d", "h", "rows").mapInArrow(_suffixes(min_words, levels), _SUFFIXES), "suffixes")
+    found = scratch.keep(suffixes.orderBy("a", "b", "d", "h", "i").mapInArrow(_intervals, _FOUND), "found")
+    edges = found.where("name IS NOT NULL")
+    first = edges.groupBy("name").agg(F.min(F.struct("d", "h", "i")).alias("first"))
+    late = edges.join(first, "name").where(F.struct("d", "h", "i") > F.col("first"))
+    later = found.where("name IS NULL").select("d", "h", "lines").union(late.select("d", "h", "lines"))
     gone = later.select("d", "h", F.explode("lines").alias("line")).union(alone).groupBy("d", "h").agg(F.collect_set("line").alias("gone"))
-    return scratch.keep(gone, "gone")
+    gone = scratch.keep(gone, "gone")
+    scratch.drop_but("gone")
+    return gone
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
