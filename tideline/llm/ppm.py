@@ -8,7 +8,7 @@ followed by one byte 0xFF, which no UTF-8 text has, so a score covers the end of
 
 The trie is a set of tables (context and follower, count), one row a node, aggregated from all training
 documents; nothing of it is broadcast, as it grows with the corpus. Documents are written once as
-compressed shards of some tens of megabytes. A shard asks for the distinct six-byte strings and words
+compressed shards of about sixteen megabytes, or of one longer text. A shard asks for the distinct six-byte strings and words
 that it holds, as sorted arrays dealt by a hash of the key into parts; each part adds up the counts of
 its keys, and, when the tables of the trie have given every distinct string its log probability,
 answers each shard with an array. A shard's documents are scored from its answers. Shards and parts
@@ -27,11 +27,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, crc_mod, give_back, span_hashes, table
+from tideline.llm.common import LOWER, crc_mod, give_back, slices, span_hashes, table
 from tideline.plans.shared import Scratch
 
 #: Text of a shard and of what goes to one part, in bytes.
-ORDER, SHARD_BYTES, PART_BYTES, CHUNK = 5, 32 << 20, 64 << 20, 1 << 20
+ORDER, SHARD_BYTES, PART_BYTES, CHUNK = 5, 16 << 20, 32 << 20, 1 << 20
 _END_WORD = 0x5EED  # the key of the token that ends a text
 _WORD, _GRAM = 0, 1
 _SPACE = np.zeros(256, bool)
@@ -166,9 +166,9 @@ def _shards(size: int):
             row = (base + k, len(ids), np.array([0 if i is None else i for i in ids], np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(), np.array(train, bool).tobytes(), np.array([len(r) for r in raws], np.int64).tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(raws)))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["shard", "n", "ids", "nulls", "train", "sizes", "text"])
 
-        for batch in batches:
+        for batch in slices(batches, (1,), 4 << 20):
             ids, train = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            raws = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             at = 0
             for j, r in enumerate(raws):
                 total += len(r)
@@ -347,17 +347,19 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     if not n_shards:
         return docs.sparkSession.createDataFrame([], _SCORED).select("doc_id", "train", "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), "base_score", "score")
     parts = max(1, -(-n_shards * shard_bytes // part_bytes))
+    # as many tasks as there are groups, so that a task's share doesn't grow with the corpus
+    dealt = lambda df: df.repartition(2 * parts, "part", "kind")
     cells = scratch.keep(shards.select("shard", "train", "sizes", "text").mapInArrow(_ask(parts), _CELL), "cells")
-    sums = scratch.keep(cells.select("part", "kind", "keys", "counts").groupBy("part", "kind").applyInArrow(_add_up, "kind int, key long, n long"), "sums")
+    sums = scratch.keep(dealt(cells.select("part", "kind", "keys", "counts")).groupBy("part", "kind").applyInArrow(_add_up, "kind int, key long, n long"), "sums")
     words, counts = (sums.where(F.col("kind") == k).select("key", "n") for k in (_WORD, _GRAM))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     grams, nodes = trie(counts, scratch)
     values = words.select(F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).union(log_probabilities(counts, grams, nodes, scratch).select(F.lit(_GRAM), "key", "value"))
     values = values.select(_part_of(F.col("key"), parts).alias("part"), "kind", "key", "value")
-    answers = cells.select("shard", "part", "kind", "keys").groupBy("part", "kind").cogroup(values.groupBy("part", "kind")).applyInArrow(_answer, _ANSWER)
+    answers = dealt(cells.select("shard", "part", "kind", "keys")).groupBy("part", "kind").cogroup(dealt(values).groupBy("part", "kind")).applyInArrow(_answer, _ANSWER)
     answers = scratch.keep(answers, "answers")
     scratch.drop("cells", "sums", *(f"{t}{j}" for t in ("gram", "node", "level") for j in range(ORDER + 1)))  # nothing reads them any more
-    out = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_score(total, kinds), _SCORED)
+    out = shards.repartition(n_shards, "shard").groupBy("shard").cogroup(answers.repartition(n_shards, "shard").groupBy("shard")).applyInArrow(_score(total, kinds), _SCORED)
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
