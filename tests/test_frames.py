@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import exprs
 from tideline.operators import batch, chunked, kernel
-from tideline.options import InvalidOption, Options, UnsupportedFeature
+from tideline.options import InvalidData, InvalidOption, Options, UnsupportedFeature
 from tideline.plans import ranks, relational
 from tideline.plans.shared import Scratch
 from tideline.sources import series
@@ -250,6 +250,47 @@ def test_online_arrays_equal_single_fits(update):
             assert np.array_equal(chunked.online_values(x, y, o, 25)[0], got[25:], equal_nan=True)
 
 
+FULL = [
+    {},
+    {"boundary": "reflect", "scale": "mar", "kernel": "gaussian", "robustness": "huber"},
+    {"boundary": "none", "robustness": "talwar", "scale": "mean", "iterations": 2, "kernel": "uniform", "fallback": "return_original"},
+    {"boundary": "zero", "robustness": "talwar", "kernel": "cosine", "fallback": "return_none", "strict_none": True},
+    {"delta": 1.5, "iterations": 1},
+    {"delta": None},
+    {"auto_converge": 0.05, "iterations": 6},
+    {"fraction": 1.0},
+    {"iterations": 0, "fraction": 0.05},
+]
+
+
+@pytest.mark.parametrize("options", FULL)
+def test_full_updates_equal_single_fits_and_come_from_arrays(options, monkeypatch):
+    """Windows are worked out together: a fit a window was 1.3 ms a row, whatever else was done."""
+    rng = np.random.default_rng(9)
+    o = Options.of(**{"delta": 0.0, "fraction": 0.5, "window_capacity": 9, "min_points": 2, "update": "full"} | options)
+    single = kernel.fit_series
+    for x in (np.arange(40.0), np.round(np.sort(rng.uniform(0, 9, 40))), rng.uniform(0, 9, 40), np.round(rng.uniform(0, 9, 40)), np.zeros(40), 1.7e9 + np.sort(rng.uniform(0, 1e6, 40))):
+        for y in (rng.normal(size=40), np.where(rng.random(40) < 0.1, 1e4, rng.normal(size=40)), np.ones(40)):
+            one = [single(x[max(0, k - 8) : k + 1], y[max(0, k - 8) : k + 1], None, o) for k in range(2, 40)]
+            with monkeypatch.context() as m:
+                m.setattr(kernel, "fit_series", None)
+                fit, rw = chunked.online_values(x, y, o)
+            assert np.allclose(fit[2:], [f.y_smooth[-1] for f in one], rtol=1e-12, atol=1e-12, equal_nan=True)
+            assert np.allclose(rw[2:], [f.robustness_weight[-1] for f in one], rtol=1e-12, atol=1e-12, equal_nan=True)
+    y[20] = np.nan
+    with pytest.raises(InvalidData, match="isn't finite"):
+        chunked.online_values(x, y, o)
+
+
+def test_full_updates_that_choose_their_span():
+    rng = np.random.default_rng(11)
+    x, y = np.arange(20.0), rng.normal(size=20)
+    o = Options.of(delta=0.0, window_capacity=12, min_points=12, update="full", cv_fractions=(0.4, 0.8), cv_k=3, iterations=1)
+    fit, _ = chunked.online_values(x, y, o)
+    assert np.isnan(fit[:11]).all()
+    assert np.allclose(fit[11:], [kernel.fit_series(x[k - 11 : k + 1], y[k - 11 : k + 1], None, o).y_smooth[-1] for k in range(11, 20)])
+
+
 def test_data_is_checked_for_lines_too(spark):
     schema = "g string, v double, y double, w double"
     good = [("a", 1.0, 2.0, 1.0), ("a", 2.0, 3.0, 0.0)]

@@ -123,7 +123,7 @@ def online_values(x: np.ndarray, y: np.ndarray, o: Options, first: int = 0) -> t
 def online_at(x: np.ndarray, y: np.ndarray, rows: np.ndarray, sizes: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
     """The values at the ends of windows: of ``sizes`` points up to ``rows``.
 
-    Incremental values of windows in which x doesn't fall come from arrays of windows; only the others, and full updates, are worked out one by one."""
+    They come from arrays of windows. Only incremental values of windows in which x falls, and full updates that choose their span, are worked out one by one."""
     asked, (fit, rw) = rows, (np.full(len(x), np.nan) for _ in range(2))
     rows, size = rows[sizes >= o.min_points], sizes[sizes >= o.min_points]
     rw[rows] = 1.0
@@ -136,6 +136,9 @@ def online_at(x: np.ndarray, y: np.ndarray, rows: np.ndarray, sizes: np.ndarray,
         top = falls[rows] == falls[rows - size + 1]
         fit[rows[top]] = kernel.fit_last_of_windows(x, y, rows[top], size[top], o)
         rows, size = rows[~top], size[~top]
+    elif o.update == "full" and not o.cv_fractions:
+        fit[rows], rw[rows] = kernel.fit_windows(x, y, rows, size, o)
+        rows, size = rows[:0], size[:0]
     for k, m in zip(rows.tolist(), size.tolist(), strict=True):
         wx, wy = x[k + 1 - m : k + 1], y[k + 1 - m : k + 1]
         if o.update == "incremental":

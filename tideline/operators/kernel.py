@@ -19,6 +19,8 @@ from tideline.options import InvalidData, Options
 BLOCK, _KEPT = 1 << 18, 1 << 24
 #: Windows from this width on are taken one by one.
 _WIDE = 1 << 11
+#: Elements of short series that are fitted together, so that they stay in a core's cache.
+_PART = 1 << 16
 _TINY = np.finfo(float).tiny
 
 
@@ -70,11 +72,11 @@ def window_starts(x: np.ndarray, at: np.ndarray, q: int, centred: bool = False)
 class LocalFits:
     """The weighted lines at the indices ``at``, pass after pass. Only the robustness weights change between
     passes, so the products of kernel weights and distances are kept where they fit into ``_KEPT`` numbers,
-    and a pass is five sums over windows of one array each."""
+    and a pass is five sums over windows of one array each. ``left``: where the windows start, if known."""
 
-    def __init__(self, x, y, at, q: int, w, o: Options):
+    def __init__(self, x, y, at, q: int, w, o: Options, left: np.ndarray | None = None):
         self.x, self.y, self.at, self.q, self.w, self.o = x, y, at, min(q, len(x)), w, o
-        self.left = window_starts(x, at, self.q)
+        self.left = window_starts(x, at, self.q) if left is None else left
         self.h = np.maximum(x[at] - x[self.left], x[self.left + self.q - 1] - x[at])
         step = max(1, BLOCK // self.q) if self.q < _WIDE else 1
         self.blocks = [slice(a, a + step) for a in range(0, len(at), step)]
@@ -100,8 +102,9 @@ class LocalFits:
             k, kd, kdd = self._products(block) if self.kept is None else self.kept[n]
             left, h = self.left[block], self.h[block]
             at = left if many else int(left[0])
-            sw, sx, sxx = (a.sum(axis=1) if vw is None else dot(a, vw[at]) for a in (k, kd, kdd))
-            sy, sxy = dot(k, zw[at]), dot(kd, zw[at])
+            vs, zs = None if vw is None else vw[at], zw[at]
+            sw, sx, sxx = (a.sum(axis=1) if vs is None else dot(a, vs) for a in (k, kd, kdd))
+            sy, sxy = dot(k, zs), dot(kd, zs)
             with np.errstate(divide="ignore", invalid="ignore"):
                 xm, ym = sx / sw, sy / sw
                 var = sxx - sx * xm
@@ -170,46 +173,56 @@ class Between:
 
 
 def pad(x, y, w, q: int, policy: str):
-    """Synthetic points on both ends; their case weights are 1. Returns the arrays and the number a side."""
-    n = len(x)
+    """Synthetic points on both ends; their case weights are 1. Returns the arrays and the number a side.
+    Series run along the last axis."""
+    n = x.shape[-1]
     k = min(q // 2, n - 1)
     if policy == "noboundary" or k <= 0:
         return x, y, w, 0
     i = np.arange(1, k + 1)
     if policy == "reflect":
-        lx, ly, rx, ry = 2 * x[0] - x[i], y[i], 2 * x[-1] - x[n - 1 - i], y[n - 1 - i]
+        lx, ly, rx, ry = 2 * x[..., :1] - x[..., i], y[..., i], 2 * x[..., -1:] - x[..., n - 1 - i], y[..., n - 1 - i]
     else:
-        value = (lambda v: np.full(k, v)) if policy == "extend" else (lambda v: np.zeros(k))
-        lx, rx = x[0] - i * (x[1] - x[0]), x[-1] + i * (x[-1] - x[-2])
-        ly, ry = value(y[0]), value(y[-1])
+        value = (lambda v: np.repeat(v, k, axis=-1)) if policy == "extend" else (lambda v: np.repeat(np.zeros_like(v), k, axis=-1))
+        lx, rx = x[..., :1] - i * (x[..., 1:2] - x[..., :1]), x[..., -1:] + i * (x[..., -1:] - x[..., -2:-1])
+        ly, ry = value(y[..., :1]), value(y[..., -1:])
     one = np.ones(k)
-    return np.concatenate([lx[::-1], x, rx]), np.concatenate([ly[::-1], y, ry]), None if w is None else np.concatenate([one, w, one]), k
+    join = lambda *a: np.concatenate(a, axis=-1)
+    return join(lx[..., ::-1], x, rx), join(ly[..., ::-1], y, ry), None if w is None else join(one, w, one), k
+
+
+def _median(v: np.ndarray) -> np.ndarray:
+    return np.median(v, axis=-1, keepdims=True)
+
+
+def scales_of(r: np.ndarray, scale: str) -> np.ndarray:
+    """Residual scales with their floor, of series along the last axis, which stays."""
+    size = np.abs(r)
+    mean = size.mean(axis=-1, keepdims=True)
+    s = mean if scale == "mean" else _median(size) if scale == "mar" else _median(np.abs(r - _median(r)))
+    return np.where(s <= np.maximum(1e-7 * mean, 1e-12), np.maximum(mean, s), s)
 
 
 def scale_of(r: np.ndarray, scale: str) -> float:
     """Residual scale with its floor."""
-    size = np.abs(r)
-    mean = float(size.mean())
-    s = mean if scale == "mean" else float(np.median(size)) if scale == "mar" else float(np.median(np.abs(r - np.median(r))))
-    return max(mean, s) if s <= max(1e-7 * mean, 1e-12) else s
+    return float(scales_of(r, scale)[0])
 
 
 def robustness_weights(r: np.ndarray, robustness: str, scale: str) -> np.ndarray:
-    return weights_of(r, scale_of(r, scale), robustness)
+    return weights_of(r, scales_of(r, scale), robustness)
 
 
-def weights_of(r: np.ndarray, s: float, robustness: str) -> np.ndarray:
+def weights_of(r: np.ndarray, s: float | np.ndarray, robustness: str) -> np.ndarray:
     """Weights of residuals under the scale s."""
     size = np.abs(r)
-    if s <= 0:
-        return np.ones(len(r))
     if robustness == "bisquare":
-        c = max(6 * s, 1e-12)
-        return np.where(size <= 0.001 * c, 1.0, np.where(size <= 0.999 * c, (1 - (size / c) ** 2) ** 2, 0.0))
-    u = size / s
-    if robustness == "huber":
-        return np.where(u <= 1.345, 1.0, 1.345 / np.maximum(u, 1.345))
-    return np.where(u <= 2.5, 1.0, 0.0)
+        c = np.maximum(6 * s, 1e-12)
+        w = np.where(size <= 0.001 * c, 1.0, np.where(size <= 0.999 * c, (1 - (size / c) ** 2) ** 2, 0.0))
+    else:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = size / s
+        w = np.where(u <= 1.345, 1.0, 1.345 / np.maximum(u, 1.345)) if robustness == "huber" else np.where(u <= 2.5, 1.0, 0.0)
+    return np.where(s <= 0, 1.0, w)
 
 
 def standard_errors(x, y, fit, q, rw, kernel: str) -> np.ndarray:
@@ -393,6 +406,108 @@ def fit_series(x, y, w, o: Options) -> Fit:
     return Fit(take(fit), take(r), take(rw), take(se), {k: v[back] for k, v in bounds.items()}, fraction, done if o.auto_converge is not None and fraction < 1 else None, scores, stats)
 
 
+def _below(s: np.ndarray, v: np.ndarray, upto: bool = False) -> np.ndarray:
+    """For each of v, how many of the sorted s of its row are smaller, or also as large."""
+    n, flat = s.shape[1], s.ravel()
+    base, found = np.arange(len(s))[:, None] * n - 1, np.zeros(v.shape, np.int64)
+    for bit in reversed(range(n.bit_length())):
+        more = found + (1 << bit)
+        at = flat[base + np.minimum(more, n)]
+        found = np.where((more <= n) & (at <= v if upto else at < v), more, found)
+    return found
+
+
+class BetweenRows:
+    """:func:`anchors` and :class:`Between` of series of one length, a row each: ``at`` are the places, in
+    the array of all, of the points that are fitted."""
+
+    def __init__(self, x: np.ndarray, delta: float | np.ndarray):
+        self.x, (many, n) = x, x.shape
+        self.base = np.arange(many)[:, None] * n
+        # without delta every point has the value of the first one that ties with it
+        self.whole = bool(np.all(delta == 0))
+        if self.whole:
+            first = np.concatenate([np.ones((many, 1), bool), x[:, 1:] > x[:, :-1]], axis=1)
+            self.at = (self.base + np.maximum.accumulate(np.where(first, np.arange(n), 0), axis=1)).ravel()
+            return
+        ties, ahead = _below(x, x, upto=True) - 1, _below(x, x + delta, upto=True)
+        step = np.minimum(np.maximum(ahead - 1, ties + 1), n - 1)
+        row, last = np.arange(many), np.zeros(many, np.int64)
+        anchor, knot, source = np.zeros(x.shape, bool), np.zeros(x.shape, bool), np.tile(np.arange(n), (many, 1))
+        while len(row):
+            end = ties[row, last]
+            anchor[row, last] = knot[row, last] = knot[row, end] = True
+            source[row, end] = last
+            row, last = row[end < n - 1], step[row, last][end < n - 1]
+        self.at, self.source, self.knot = np.flatnonzero(anchor), self.base + source, knot
+        self.left = self.base + np.maximum.accumulate(np.where(knot, np.arange(n), 0), axis=1)
+        self.right = self.base + np.minimum.accumulate(np.where(knot, np.arange(n), n - 1)[:, ::-1], axis=1)[:, ::-1]
+
+    def __call__(self, fit: np.ndarray) -> np.ndarray:
+        if self.whole:
+            return fit.reshape(self.x.shape)
+        values, x = np.empty(self.x.size), self.x.ravel()
+        values[self.at] = fit
+        values = values[self.source]
+        y0, y1, x0, x1 = values.ravel()[self.left], values.ravel()[self.right], x[self.left], x[self.right]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            line = np.where(x1 > x0, y0 + (self.x - x0) / (x1 - x0) * (y1 - y0), np.where(y0 == y1, y0, 0.5 * (y0 + y1)))
+        return np.where(self.knot, values, line)
+
+
+def _fit_rows(x: np.ndarray, y: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`fit_series` gives the last point of each row: its value and robustness weight."""
+    bad = np.flatnonzero(~(np.isfinite(x) & np.isfinite(y)).all(axis=1))
+    if len(bad):
+        check(x[bad[0]], y[bad[0]])
+    many, n = x.shape
+    last = (x <= x[:, -1:]).sum(axis=1) - 1  # in the order of x, behind those that tie
+    if (x[:, 1:] < x[:, :-1]).any():
+        order = np.argsort(x, axis=1, kind="stable")
+        x, y = np.take_along_axis(x, order, axis=1), np.take_along_axis(y, order, axis=1)
+    if o.fraction >= 1:
+        xm, ym = x.mean(axis=1), y.mean(axis=1)
+        dx = x - xm[:, None]
+        var, with_y = (dx * dx).sum(axis=1), (dx * (y - ym[:, None])).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(var <= 1e-12, ym, ym + with_y / var * dx[np.arange(many), last]), np.ones(many)
+    delta = 0.01 * (x[:, -1:] - x[:, :1]) if o.delta is None else o.delta
+    q = span(n, o.fraction)
+    x, y, _, k = pad(x, y, None, q, o.boundary)
+    n = x.shape[1]
+    q, between, ends = min(q, n), BetweenRows(x, delta), np.arange(many) * n + last + k
+    left = np.broadcast_to(between.base, x.shape) if q >= n else between.base + _below(x[:, : n - q] + x[:, q:], 2 * x)
+    fits = lambda at: LocalFits(x.ravel(), y.ravel(), at, q, None, o, left.ravel()[at])
+    rw, fit, local, live = None, y, None, np.ones(many, bool)
+    value, weight = np.empty(many), np.ones(many)
+    for t in range(o.iterations + 1):
+        if t == o.iterations and between.whole and o.auto_converge is None:
+            return fits(between.at[ends])(rw), weight  # of the last pass nothing else is asked
+        local = local or fits(between.at)
+        before, fit = fit, between(local(rw))
+        value[live] = fit.ravel()[ends[live]]
+        if o.auto_converge is not None and t:
+            live = live & ~(np.abs(fit - before).max(axis=1) <= o.auto_converge)
+            if not live.any():
+                break
+        if t < o.iterations:
+            rw = robustness_weights(y - fit, o.robustness, o.scale).ravel()
+            weight[live] = rw[ends[live]]
+    return value, weight
+
+
+def fit_windows(x: np.ndarray, y: np.ndarray, rows: np.ndarray, sizes: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """The value and robustness weight that :func:`fit_series` gives the last point of each of the windows of
+    ``sizes`` points that end at ``rows``. Windows of one size are worked out together."""
+    fit, rw = np.empty(len(rows)), np.empty(len(rows))
+    for size in np.unique(sizes).tolist():
+        mine, q = np.flatnonzero(sizes == size), span(size, o.fraction)
+        for part in np.array_split(mine, 1 + len(mine) * (size + q) * q // _PART):
+            first = rows[part] - size + 1
+            fit[part], rw[part] = _fit_rows(*(sliding_window_view(v, size)[first] for v in (x, y)), o)
+    return fit, rw
+
+
 def fit_last(x: np.ndarray, y: np.ndarray, o: Options) -> float:
     """The local fit at the last point of a window in order of arrival, as online updates make it."""
     n = len(x)
